@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pomona.llm.common import table
 
@@ -23,5 +22,27 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(checked_chat(src.unionByName(more)))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op10_chat_formatting)}
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from pomona.llm.bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from pomona.llm.packing import pack_texts
+
+    return pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pomona.llm.jpeg import store_text
+
+    return store_text(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_url_filters, op6_byte_bpe, op7_packing, op8_media_columns, op10_chat_formatting)}
 ORACLES: dict[str, str] = {}

@@ -22,6 +22,12 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(checked_chat(src.unionByName(more)))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pomona.llm.near_dup import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,5 +50,5 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_text(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op6_byte_bpe, op7_packing, op8_media_columns, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op2_url_filters, op5_minhash_near_dedup, op6_byte_bpe, op7_packing, op8_media_columns, op10_chat_formatting)}
 ORACLES: dict[str, str] = {}

@@ -13,6 +13,12 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pomona.llm.lang_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pomona.llm.chat import chat_digest, checked_chat
 
@@ -22,6 +28,12 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(checked_chat(src.unionByName(more)))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pomona.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pomona.llm.near_dup import near_groups
 
@@ -50,5 +62,5 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_text(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op5_minhash_near_dedup, op6_byte_bpe, op7_packing, op8_media_columns, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op2_url_filters, op3_toxicity, op5_minhash_near_dedup, op6_byte_bpe, op7_packing, op8_media_columns, op9_language_id, op10_chat_formatting)}
 ORACLES: dict[str, str] = {}

@@ -49,7 +49,9 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLI
 
 
 def filled(array: pa.Array) -> pa.Array:
-    """Text as large_string, with nulls as empty texts."""
+    """Text as large_string in buffers of its own, with nulls as empty texts."""
+    if array.offset:  # some string kernels read a slice from the start of its buffers
+        array = array.take(pa.array(np.arange(len(array))))
     return pc.fill_null(array.cast(pa.large_string()), "")
 
 

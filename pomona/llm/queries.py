@@ -34,6 +34,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pomona.llm.ann import neighbours
+
+    return neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pomona.llm.near_dup import near_groups
 
@@ -62,5 +68,5 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_text(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op3_toxicity, op5_minhash_near_dedup, op6_byte_bpe, op7_packing, op8_media_columns, op9_language_id, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op2_url_filters, op3_toxicity, op4_nearest_neighbours, op5_minhash_near_dedup, op6_byte_bpe, op7_packing, op8_media_columns, op9_language_id, op10_chat_formatting)}
 ORACLES: dict[str, str] = {}

@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pomona.llm.common import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pomona.llm.lm_score import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pomona.llm.url_filter import judge_urls
 
@@ -68,5 +74,5 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_text(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op3_toxicity, op4_nearest_neighbours, op5_minhash_near_dedup, op6_byte_bpe, op7_packing, op8_media_columns, op9_language_id, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_url_filters, op3_toxicity, op4_nearest_neighbours, op5_minhash_near_dedup, op6_byte_bpe, op7_packing, op8_media_columns, op9_language_id, op10_chat_formatting)}
 ORACLES: dict[str, str] = {}

@@ -1,8 +1,65 @@
-"""A corpus pipeline of this repository's training-data operators."""
+"""A corpus pipeline of this repository's training-data operators.
 
-STAGES = []
+toxicity (rejected documents go), language ID (rejected documents go), near-duplicates (one document of
+each group stays), packing. Every stage works on all that its predecessor kept.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pomona.llm.common import by_ids, shared_checkpoint, table
+from pomona.llm.lang_id import identify
+from pomona.llm.near_dup import near_groups
+from pomona.llm.packing import pack_texts
+from pomona.llm.toxicity import score_toxicity
+
+#: A language is accepted from this share of the summed likelihoods on.
+LANGUAGE_SCORE = 0.5
+_KEEP = "__keep"
+
+
+def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The documents whose id has a decision to keep, with all their columns; rows with a null id stay.
+
+    decisions: (doc_id, __keep). The ids of rejected documents are the smaller side and are joined away.
+    """
+    return by_ids(docs, decisions.where(~F.col(_KEEP) & F.col("doc_id").isNotNull()).select("doc_id"), "left_anti")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity below one half."""
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
+    return _kept(docs, scored.select("doc_id", (F.col("predicted") == 0).alias(_KEEP)))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that is recognised."""
+    found = identify(docs)
+    return _kept(docs, found.select("doc_id", ((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SCORE)).alias(_KEEP)))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    groups = near_groups(docs)
+    return _kept(docs, groups.select("doc_id", F.col("kept").alias(_KEEP)))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences of at most 2048 tokens."""
+    return pack_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+STAGES = [("toxicity", toxicity), ("language", language), ("near_duplicates", near_duplicates), ("packing", packing)]
+#: No stage but the joins is within SQL's reach; tests hold each against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, one after another, on the documents table; each result is written once to shared storage and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = shared_checkpoint(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

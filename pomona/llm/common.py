@@ -31,6 +31,17 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Ids are broadcast to a scan up to this number (16 MB), and joined by a shuffle beyond.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """df joined (left_semi or left_anti) with one column of ids; wide rows are only shuffled if the ids are too many to broadcast."""
+    ids = shared_checkpoint(ids.distinct())
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, ids.columns, how).select(*df.columns)
+
+
 def fold_of(doc_id: Column, n: int) -> Column:
     """crc32 of the id's text, modulo n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(n))

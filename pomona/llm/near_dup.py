@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pomona.llm.common import GOLDEN, hash_bytes, mix, shared_checkpoint, spread, text_slices, words
+from pomona.llm.common import GOLDEN, by_ids, hash_bytes, mix, shared_checkpoint, text_slices, words
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 32, 8
@@ -33,8 +33,6 @@ BANDS, ROWS = 32, 8
 SMALL, BLOCK = 8, 256
 #: Elements whose permutations are held at once.
 LANES = 150_000
-#: Candidate ids are broadcast to the scan up to this number (16 MB), and joined by a shuffle beyond.
-BROADCAST_IDS = 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C55)
 
 
@@ -245,9 +243,8 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     full = rows.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = shared_checkpoint(rows.join(full, "bucket"))
     stars = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    ids = members.select(F.col("rep").alias("id")).distinct()
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    sets = shared_checkpoint(full_sets(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")))
+    ids = members.select(F.col("rep").alias("id"))
+    sets = shared_checkpoint(full_sets(by_ids(docs, ids, "left_semi")))
     links = shared_checkpoint(_verified(stars, sets))
     comps = components(links)
     # what is still apart inside a bucket

@@ -20,3 +20,27 @@ def eol_statistics(text: Column) -> dict[str, Column]:
         "crlf": crlf,
         "high": F.length(F.regexp_replace(text, "[\\x00-\\x7F]", "")).cast("long"),
     }
+
+
+#: Bytes that mark a binary file (controls but backspace, tab, line feed, form feed and return; delete; 80-9F).
+BINARY = "[\\x00-\\x07\\x0B\\x0E-\\x1F\\x7F\\x80-\\x9F]"
+LEAST_TEXT = 40
+
+
+def text_kind(text: Column) -> Column:
+    """off for short or binary texts, else the line ends: lf, cr, crlf or unknown. `text` holds one character a byte."""
+    n = F.length(text)
+    binary = n - F.length(F.regexp_replace(text, BINARY, ""))
+    lf, cr = occurrences(text, "\n"), occurrences(text, "\r")
+    allowed = F.when(n < 100, 1).otherwise(F.floor(n / 100))
+    ends = F.when((lf > 0) & (cr == 0), "lf").when((lf == 0) & (cr > 0), "cr").when((lf > 0) & (lf == cr), "crlf").otherwise("unknown")
+    return F.when((n < LEAST_TEXT) | (binary > allowed), "off").otherwise(ends)
+
+
+def high_ascii(text: Column) -> Column:
+    """Every byte has its top bit set, or is a blank or zero. `text` holds one character a byte."""
+    return text.rlike("^[\\x80-\\xFF \\x00]*$")
+
+
+def to_crlf(text: Column) -> Column:
+    return F.regexp_replace(text, "\r\n|\r|\n", "\r\n")

@@ -177,22 +177,22 @@ def archive_totals(t):
     return t("lineitem").agg(F.count(F.lit(1)).alias("entries"), total.alias("total"), packed.alias("packed"), (total - packed).alias("saved"), F.count_if(F.col("l_returnflag") == "R").alias("returned"))
 
 
-@query("""select conv_id, count(*) as threads, cast(sum(length(text)) as bigint) as total, arg_min(length(text), turn) filter (where role = 'user') as first_data, arg_min(length(text), turn) filter (where role = 'assistant') as first_rsrc,
+@query("""select conv_id, count(*) as threads, cast(sum(length(text)) as bigint) as total, coalesce(arg_min(length(text), turn) filter (where role = 'user'), -1) as first_data, coalesce(arg_min(length(text), turn) filter (where role = 'assistant'), -1) as first_rsrc,
   bool_or(role = 'system') as has_comment, arg_max(role, turn) as kind from conversations group by conv_id""")
 def record_summary(t):
     c = t("conversations").withColumn("n", F.length("text").cast("long"))
-    first = lambda role: F.min_by("n", F.when(F.col("role") == role, F.col("turn")))
+    first = lambda role: F.coalesce(F.min_by("n", F.when(F.col("role") == role, F.col("turn"))), F.lit(-1).cast("long"))
     return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("threads"), F.sum("n").alias("total"), first("user").alias("first_data"), first("assistant").alias("first_rsrc"), F.bool_or(F.col("role") == "system").alias("has_comment"), F.max_by("role", "turn").alias("kind"))
 
 
 @query("""with u as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as n from conversations where role = 'user'),
 a as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as n from conversations where role = 'assistant')
-select coalesce(u.conv_id, a.conv_id) as conv_id, coalesce(u.n, a.n) as n, u.turn as data_turn, a.turn as rsrc_turn from u full join a on u.conv_id = a.conv_id and u.n = a.n""")
+select coalesce(u.conv_id, a.conv_id) as conv_id, coalesce(u.n, a.n) as n, coalesce(u.turn, -1) as data_turn, coalesce(a.turn, -1) as rsrc_turn from u full join a on u.conv_id = a.conv_id and u.n = a.n""")
 def fork_pairing(t):
-    """The n-th data fork of a name pairs with its n-th resource fork: the first that is free."""
+    """The n-th data fork of a name pairs with its n-th resource fork, the first that is free; -1 stands for no fork."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     side = lambda role, name: t("conversations").where(F.col("role") == role).select("conv_id", F.row_number().over(w).cast("long").alias("n"), F.col("turn").alias(name))
-    return side("user", "data_turn").join(side("assistant", "rsrc_turn"), ["conv_id", "n"], "full_outer")
+    return side("user", "data_turn").join(side("assistant", "rsrc_turn"), ["conv_id", "n"], "full_outer").fillna(-1, ["data_turn", "rsrc_turn"])
 
 
 _USED = "select l_partkey as chunk, l_suppkey from lineitem where l_returnflag = 'R' and l_linenumber = 1"

@@ -27,7 +27,7 @@ from pomona.llm.common import fold_of, hash_bytes, mix, shared_checkpoint, text_
 from pomona.llm.ef_trie import NONE, STEP, Trie
 
 #: Tokens in a block and in a shard; a context is hot from 1/HOT of all training tokens.
-BLOCK_TOKENS, SHARD_TOKENS, HOT = 2_000_000, 3_000_000, 4096
+BLOCK_TOKENS, SHARD_TOKENS, HOT = 1_200_000, 2_000_000, 4096
 #: Weights of the corpus frequency, and the number of context buckets (powers of 8 of the context's count).
 GRID = (1.0, 0.97, 0.85, 0.6, 0.35, 0.12)
 BUCKETS = 7
@@ -45,7 +45,7 @@ def _count(docs: DataFrame) -> DataFrame:
     """word, c (training), n (all): one row for each different word, the start and the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, "raw", 24 << 20):
+        for b in text_slices(batches, "raw", 12 << 20):
             offsets, ids, distinct = words(b.column("raw"))
             size = np.diff(offsets)
             train = ~b.column("held_out").to_numpy(zero_copy_only=False)
@@ -174,7 +174,7 @@ def _pack(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for b in text_slices(batches, "raw", 24 << 20):
+        for b in text_slices(batches, "raw", 12 << 20):
             block = b.column("block").to_numpy()
             rest = b.select(["doc_key", "held_out", "raw"])
             order = np.argsort(block, kind="stable")

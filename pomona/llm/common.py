@@ -57,6 +57,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLI
         starts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], batch.num_rows]):
             yield batch.slice(int(a), int(b - a))
+            pa.default_memory_pool().release_unused()  # workers live on; what they hold counts
 
 
 def filled(array: pa.Array) -> pa.Array:

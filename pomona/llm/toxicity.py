@@ -88,8 +88,14 @@ def dense(texts: pa.Array, lexicon: dict[bytes, float]) -> np.ndarray:
     at = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + n + 1]
     data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
     at = at - at[0]
-    size = np.maximum(np.diff(at), 1)
-    share = lambda mask: (np.diff(np.r_[0, np.cumsum(mask)][at])) / size
+    size, full = np.maximum(np.diff(at), 1), np.flatnonzero(np.diff(at))
+
+    def share(mask: np.ndarray) -> np.ndarray:
+        part = np.zeros(n)
+        if len(full):
+            part[full] = np.add.reduceat(mask, at[:-1][full], dtype=np.int64)
+        return part / size
+
     capital, lower = _CAPITAL[data], _LOWER[data]
     out[:, 8] = share(capital) / np.maximum(share(capital) + share(lower), 1e-9)
     out[:, 9] = share(np.r_[False, capital[1:] & capital[:-1]]) if len(data) else 0
@@ -192,7 +198,7 @@ def _lexicon(sample: DataFrame) -> dict[bytes, float]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = {0: Counter(), 1: Counter()}
-        for b in batches:
+        for b in text_slices(batches, "raw", 4 << 20):
             offsets, ids, distinct = words(b.column("raw"))
             entries = [units(w) for w in distinct.to_pylist()]
             for y, a, z in zip(b.column("toxic").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -228,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None) -> T
     lexicon = _lexicon(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, "raw"):
+        for b in text_slices(batches, "raw", 4 << 20):
             x = dense(b.column("raw"), lexicon)
             yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("part"), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), len(FEATURES)).cast(pa.list_(pa.float64()))], names=["toxic", "part", "x"])
 
@@ -259,7 +265,7 @@ def score_toxicity(df: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     model = fit(docs, labels.select(F.col(key).alias("doc_id"), "toxic"), fold_of(F.col("doc_id"), fold) != 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, "raw", 16 << 20):
+        for b in text_slices(batches, "raw", 4 << 20):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(model.score(b.column("raw")))], names=["doc_id", "held_out", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]

@@ -483,13 +483,14 @@ class CPM:
             yield out
 
 
-#: In the order of detection, which is part of the result on hybrid disks.
-FILESYSTEMS = (DOS, ProDOS, Pascal, CPM)
+def open_filesystem(image: Image, forced: str | None = None):
+    """The file system on an image, trying its preferred sector order first; None if there is none that is known.
 
+    The order of detection is part of the result on hybrid disks.
+    """
+    from pomona.sources.more_filesystems import FAT, HFS, RDOS, Gutenberg
 
-def open_filesystem(image: Image, forced: str | None = None):
-    """The file system on an image, trying its preferred sector order first; None if there is none that is known."""
-    kinds = [k for k in FILESYSTEMS if forced in (None, k.name)]
+    kinds = [k for k in (FAT, DOS, ProDOS, Pascal, CPM, RDOS, HFS, Gutenberg) if forced in (None, k.name)]
     if image.order and image.physical == "sectors" and len(image.data) % 4096 == 0:
         orders = [image.order, *(o for o in ("prodos", "dos", "cpm", "physical") if o != image.order)]
     else:

@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from pomona.sources import archives
-from pomona.sources.disk import open_image, unwrap
+from pomona.sources.disk import Image, open_image, unwrap
 from pomona.sources.filesystems import open_filesystem
+from pomona.sources.partitions import open_partitions
 
 VOLUMES = "container_path string, volume_id string, parent_volume_id string, depth int, outer_format string, file_format string, physical_format string, sector_order string, fs_format string, num_tracks int, sect_per_track int, num_blocks long, volume_name string, dos_volume_num int, damaged boolean, notes array<struct<level: string, text: string>>, status string, error string"
 ENTRIES = "container_path string, volume_id string, ordinal int, path string, fssep string, sub_volume string, record_kind string, file_type long, aux_type long, access int, created_at timestamp_ntz, modified_at timestamp_ntz, data_len long, rsrc_len long, packed_len long, format string, source_fs string, quality string, data binary, rsrc binary"
@@ -76,19 +77,25 @@ def scan(path: str, data: bytes, fs: str | None = None) -> Iterator[tuple[dict,
         volume = dict(container_path=path, volume_id=volume_id, parent_volume_id=parent, depth=depth, damaged=False, notes=[], status="ok", error=None)
         entries, system = [], None
         try:
-            inner, plain, outer, notes = unwrap(name, body)
-            found = _archive(inner, plain)
+            inner, plain, outer, notes = (name, body, None, []) if isinstance(body, Image) else unwrap(name, body)
+            found = None if isinstance(body, Image) else _archive(inner, plain)
             if found:
                 kind, entries, disks = found
                 volume |= dict(outer_format=outer, file_format=kind, notes=list(notes))
                 if depth < DEPTH:
                     stack += [(n, d, f"{volume_id}:{n}", volume_id, depth + 1) for n, d in disks]
             else:
-                image, outer = open_image(name, body)
-                system = open_filesystem(image, fs)
+                image, outer = (body, None) if isinstance(body, Image) else open_image(name, body)
+                parts = open_partitions(image) if depth < DEPTH and fs is None else None
+                system = None if parts else open_filesystem(image, fs)
                 used = system.image if system else image
-                volume |= dict(outer_format=outer, file_format=image.file_format, physical_format=image.physical, sector_order=used.order, fs_format=system.name if system else "unknown", num_tracks=image.tracks, sect_per_track=image.sectors, num_blocks=image.blocks, volume_name=system.volume if system else None, dos_volume_num=image.volume, damaged=image.damaged, notes=list(image.notes))
+                volume |= dict(outer_format=outer, file_format=image.file_format, physical_format=image.physical, sector_order=used.order, fs_format=parts[0] if parts else system.name if system else "unknown", num_tracks=image.tracks, sect_per_track=image.sectors, num_blocks=image.blocks, volume_name=system.volume if system else None, dos_volume_num=image.volume, damaged=image.damaged, notes=list(image.notes))
                 entries = list(system.entries()) if system else []
+                for n, part in parts[1] if parts else ():
+                    if part is None:  # a partition that can't be read is still listed
+                        yield dict(container_path=path, volume_id=f"{volume_id}:{n}", parent_volume_id=volume_id, depth=depth + 1, damaged=True, notes=[], status="failed", error="the partition lies beyond the image"), [], None
+                    else:
+                        stack.append((n, part, f"{volume_id}:{n}", volume_id, depth + 1))
         except (ValueError, OSError, IndexError) as e:
             volume |= dict(status="failed", error=str(e)[:200])
         yield volume, entries, system

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,3 +115,40 @@ def lower_case_flags(name: Column, flags: Column) -> Column:
     """The name with the letters in lower case whose bit is set, from bit 14 down."""
     letters = F.split(name, "")
     return F.array_join(F.transform(letters, lambda ch, i: F.when(F.pmod(F.floor(flags / F.pow(F.lit(2.0), 14 - i)), F.lit(2)) == 1, F.lower(ch)).otherwise(ch)), "")
+
+
+#: Words that keep their case, words with a spelling of their own, and short ones that start small after a blank.
+AS_THEY_ARE = ("BBS", "3D")
+SPELLED = ("ProDOS", "IIe", "IIc", "IIgs")
+SMALL_WORDS = ("of", "the", "a", "an", "and", "to", "in")
+_TOKEN = re.compile(r"[^ .:&\-+/\\()<>@*]+")
+
+
+def title_case(name: str) -> str:
+    """An all-capitals name in book-title case; one with any small letter stays as it is."""
+    if name is None or any("a" <= c <= "z" for c in name):
+        return name
+
+    def cased(m: re.Match) -> str:
+        token = m.group()
+        if token.upper() in AS_THEY_ARE or not token.strip("IVX"):
+            return token
+        for word in SPELLED:
+            if token.upper() == word.upper():
+                return word
+        small = name[m.start() - 1 : m.start()] == " " and token.lower() in SMALL_WORDS
+        return token.lower() if small else token[0] + token[1:].lower()
+
+    return _TOKEN.sub(cased, name)
+
+
+def title_cased(name: Column) -> Column:
+    def run(names: pd.Series) -> pd.Series:
+        return names.map(title_case)
+
+    return F.pandas_udf(run, "string")(name)
+
+
+def command_words(line: Column) -> Column:
+    """Words between blanks; quotes hold blanks together and are dropped."""
+    return F.transform(F.regexp_extract_all(line, F.lit(r'((?:[^ \t"]|"[^"]*"?)+)'), F.lit(1)), lambda w: F.replace(w, F.lit('"'), F.lit("")))

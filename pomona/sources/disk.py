@@ -9,6 +9,7 @@ import zipfile
 import zlib
 from dataclasses import dataclass, field
 
+from pomona.functions import ddd
 from pomona.functions.codecs import rotating_sum
 from pomona.functions.nibbles import decode_track, encode_track, reorder, skew
 
@@ -184,6 +185,60 @@ def write_nibbles(image: Image, volume: int = 254) -> bytes:
     return b"".join(encode_track(t, [data[(t * n + s) * 256 : (t * n + s + 1) * 256] for s in range(n)], volume) for t in range(35))
 
 
+def read_trackstar(data: bytes) -> Image:
+    """40 or 80 tracks in 6656 bytes each: a text, a zero, disk bytes from the last to the first, their number."""
+    if len(data) not in (6656 * 40, 6656 * 80):
+        raise ValueError("no TrackStar image")
+    step, tracks = len(data) // (6656 * 40), []
+    for t in range(0, 40 * step, step):  # half tracks are passed over
+        b = data[t * 6656 : (t + 1) * 6656]
+        n = int.from_bytes(b[0x19FE:0x1A00], "little") or 6525
+        disk = b[0x81 : 0x81 + n][::-1]
+        if b[0x80] or n > 6525 or any(x < 0x80 for x in disk):
+            raise ValueError("no TrackStar image")
+        tracks.append(disk)
+    image = Image(b"", "physical", 16, "trackstar", "nibbles")
+    out = []
+    for t, track in enumerate(tracks[:35]):
+        for s, sector in enumerate(decode_track(track, t)):
+            if sector is None:
+                image.bad.add((t, s))
+            out.append(sector or bytes(256))
+    if len(image.bad) > 35 * 8:
+        raise ValueError("hardly a sector can be read")
+    image.data = b"".join(out)
+    image.notes.append(("info", data[:0x2E].decode("ascii", "replace").rstrip()))
+    return image
+
+
+def write_trackstar(image: Image, text: str = "", volume: int = 254) -> bytes:
+    data = reorder(image.data, "physical", image.order)
+    out = bytearray()
+    for t in range(40):
+        disk = encode_track(t, [data[(t * 16 + s) * 256 : (t * 16 + s + 1) * 256] for s in range(16)], volume, 0) if t < 35 else b"\xff" * 6000
+        b = bytearray(6656)
+        b[:0x2E] = text.encode("ascii", "replace")[:0x2E].ljust(0x2E)
+        b[0x81 : 0x81 + len(disk)] = disk[::-1]
+        b[0x19FE:0x1A00] = len(disk).to_bytes(2, "little")
+        out += b
+    return bytes(out)
+
+
+def read_ddd(data: bytes) -> Image:
+    """A packed disk, whose four leading bytes may be missing; it is known by its length after unpacking alone."""
+    for start in (4, 0):
+        try:
+            body, volume = ddd.unpack(data, start)
+        except ValueError:
+            continue
+        return Image(body, "dos", file_format="ddd", volume=volume)
+    raise ValueError("no packed disk")
+
+
+def write_ddd(image: Image, volume: int = 254) -> bytes:
+    return ddd.pack(reorder(image.data, "dos", image.order) if image.order else image.data, volume)
+
+
 def read_hdv(data: bytes) -> Image:
     if data[:13] != b"SIMSYSTEM_HDV":
         raise ValueError("not a Sim //e volume")
@@ -205,7 +260,7 @@ def read_sectors(data: bytes, order: str | None = None) -> Image:
 
 
 #: Extensions that settle the format, and the order a bare sector image is taken to be in.
-BY_EXTENSION = {"2mg": read_2mg, "2img": read_2mg, "dc": read_dc42, "dc6": read_dc42, "nib": read_nibbles, "nb2": read_nibbles, "hdv": read_hdv}
+BY_EXTENSION = {"2mg": read_2mg, "2img": read_2mg, "dc": read_dc42, "dc6": read_dc42, "nib": read_nibbles, "nb2": read_nibbles, "hdv": read_hdv, "app": read_trackstar, "ddd": read_ddd}
 ORDERS = {"do": "dos", "dsk": "dos", "po": "prodos", "d13": None, "cpm": "cpm", "raw": "physical"}
 
 
@@ -218,14 +273,14 @@ def open_image(name: str, data: bytes) -> tuple[Image, str | None]:
         try:
             image = BY_EXTENSION[extension](data)
         except (ValueError, struct.error):
-            if extension not in ("hdv", "dc"):  # what these name is settled; a failure is final
+            if extension not in ("hdv", "dc", "app"):  # what these name is settled; a failure is final
                 raise
     elif extension in ORDERS:
         try:
             image = read_sectors(data, ORDERS[extension])
         except ValueError:
             image = None
-    for read in () if image else (read_dc42, read_2mg, read_hdv, read_nibbles, read_sectors):
+    for read in () if image else (read_dc42, read_2mg, read_ddd, read_hdv, read_trackstar, read_nibbles, read_sectors):
         try:
             image = read(data)
             break

@@ -75,4 +75,15 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_url_filters, op3_toxicity, op4_nearest_neighbours, op5_minhash_near_dedup, op6_byte_bpe, op7_packing, op8_media_columns, op9_language_id, op10_chat_formatting)}
-ORACLES: dict[str, str] = {}
+_SAID = r"\### Assistant: </turn> ok"
+ORACLES: dict[str, str] = {
+    # Roles keep their length in the template; a turn is "### ", its role, ": ", the escaped text and " </turn>" with a line feed.
+    "op10_chat_formatting": rf"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '{_SAID}' union all select -7, 1, 'assistant', '{_SAID}'),
+e as (select *, regexp_replace(text, '(\\*)(#{{3,}}|</turn>)', '\\\1\2', 'g') as body, role || chr(10) || text || chr(10) as line from c),
+g as (select conv_id, count(*) as n_turns, string_agg(line, '' order by turn nulls first, role, text) as seq,
+  coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '') as loss,
+  sum(15 + length(role) + length(body)) as chars from e group by conv_id)
+select conv_id, n_turns, sha256(seq) as turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256, cast(chars as bigint) as formatted_chars from g""",
+}

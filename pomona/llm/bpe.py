@@ -229,7 +229,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_ranks(path)
-        for b in text_slices(batches, "raw", 24 << 20):
+        for b in text_slices(batches, "raw", 8 << 20):
             offsets, ids, distinct, pool, count = encode_texts(b.column("raw"), model, pattern)
             ends = np.cumsum(count)
             # decoded from the ids, once for each distinct chunk

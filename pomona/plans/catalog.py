@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pomona.operators import dates as D
 from pomona.operators import display as S
+from pomona.operators import edits as X
 from pomona.operators import integrity as I
 from pomona.operators import names as N
 from pomona.operators import text as T
@@ -357,6 +358,39 @@ def xor_checksum(t):
     return t("lineitem").groupBy("l_orderkey").agg(F.bit_xor("l_partkey").bitwiseXOR(F.lit(255)).alias("checksum"))
 
 
+@query("select o_orderkey, o_orderpriority from orders where o_orderkey not in (select l_orderkey from lineitem where l_quantity > 48)")
+def delete_records(t):
+    doomed = t("lineitem").where("l_quantity > 48").select(F.col("l_orderkey").alias("o_orderkey"))
+    return X.delete_records(t("orders").select("o_orderkey", "o_orderpriority"), doomed, "o_orderkey")
+
+
+@query("""with r as (select p_partkey, p_name as name, case when p_partkey % 5 = 0 then upper(p_name) when p_partkey % 7 = 0 then 'SAME' when p_partkey % 11 = 0 then 'P' || p_partkey end as new from part),
+n as (select *, coalesce(new, name) as wanted from r), c as (select lower(wanted) as low, count(*) > 1 as clash from n group by 1)
+select p_partkey, case when new is null or new = name or clash then name else new end as name, case when new is null or new = name then 'kept' when clash then 'collision' else 'renamed' end as status from n join c on lower(wanted) = low""")
+def rename_records(t):
+    p = t("part").select("p_partkey", F.col("p_name").alias("name"))
+    k = F.col("p_partkey")
+    changes = p.select("p_partkey", F.when(k % 5 == 0, F.upper("name")).when(k % 7 == 0, "SAME").when(k % 11 == 0, F.concat(F.lit("P"), k.cast("string"))).alias("new"))
+    return X.rename_records(p, changes, "p_partkey", "name", "new")
+
+
+@query("""select c_custkey, case when c_custkey % 3 = 0 then 'SET' else c_mktsegment end as c_mktsegment, case when c_custkey % 4 = 0 then 1 else c_nationkey end as c_nationkey from customer""")
+def set_attributes(t):
+    c = t("customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    k = F.col("c_custkey")
+    changes = c.where((k % 3 == 0) | (k % 4 == 0)).select("c_custkey", F.when(k % 3 == 0, "SET").alias("c_mktsegment"), F.when(k % 4 == 0, 1).cast("int").alias("c_nationkey"))
+    return X.set_attributes(c, changes, "c_custkey")
+
+
+@query("""with k as (select conv_id, turn, case role when 'user' then 'data' when 'assistant' then 'rsrc' else 'disk' end as kind from conversations), h as (select * from k where turn < 2), i as (select * from k where turn >= 2),
+x as (select i.*, (select count(*) from h where h.conv_id = i.conv_id and (h.kind = i.kind or h.kind = 'disk' or i.kind = 'disk')) as old, (select count(*) from i j where j.conv_id = i.conv_id and (j.kind = i.kind or j.kind = 'disk' or i.kind = 'disk')) as own from i)
+select conv_id, turn, kind, old = 0 and own <= 1 as allowed from x""")
+def thread_conflicts(t):
+    k = F.when(F.col("role") == "user", "data").when(F.col("role") == "assistant", "rsrc").otherwise("disk")
+    c = t("conversations").select("conv_id", "turn", k.alias("kind"))
+    return X.thread_conflicts(c.where("turn < 2"), c.where("turn >= 2"), "conv_id", "kind")
+
+
 @query("""select l_returnflag, l_linestatus, count(*) as n, cast(sum(cast(round(l_quantity) as bigint)) as bigint) as quantity, round(avg(l_discount), 6) as discount from lineitem where l_shipdate <= timestamp '1998-09-02' group by all""")
 def envelope_pricing_summary(t):
     return t("lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp")).groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round("l_quantity").cast("long")).alias("quantity"), F.round(F.avg("l_discount"), 6).alias("discount"))

@@ -506,3 +506,6 @@ def outputs(entries: DataFrame, name: str | None = None) -> DataFrame:
 
     src = entries.where(F.col("data").isNotNull()).select("volume_id", "ordinal", "path", "file_type", "aux_type", "source_fs", "data")
     return src.mapInPandas(run, f"volume_id string, ordinal int, path string, {OUTPUTS}")
+
+
+from pomona.functions import more_converters as _more  # noqa: E402, F401

@@ -21,8 +21,9 @@ from pomona.llm.common import filled, fold_of, shared_checkpoint, text_slices, w
 
 #: Labelled documents that the classifier is fitted on (expected number; a fixed hash of the id decides).
 SAMPLE = 12_000
-#: Most lexicon entries, least toxic documents that hold one, least log odds and z score.
-LEXICON, LEAST_DF, LEAST_ODDS, LEAST_Z = 400, 5, 2.0, 3.5
+#: Most lexicon entries, least toxic documents that hold one, least log odds and z score. Entries rank by toxic documents
+#: times log odds: a z score alone would favour frequent, vague ones.
+LEXICON, LEAST_DF, LEAST_ODDS, LEAST_Z = 800, 5, 3.0, 3.5
 ROUNDS, DEPTH, RATE, BINS = 80, 3, 0.15, 32
 NEAR = 4
 #: Second-person pronouns in four languages.
@@ -210,7 +211,7 @@ def _lexicon(sample: DataFrame) -> dict[bytes, float]:
     odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
     z = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     df = df.where(F.length("entry") > 2).where(F.col("t") >= LEAST_DF).withColumn("odds", odds).withColumn("z", z).where((F.col("odds") > LEAST_ODDS) & (F.col("z") > LEAST_Z))
-    return {bytes(r["entry"]): float(r["odds"]) for r in df.orderBy(F.desc("z"), "entry").limit(LEXICON).collect()}
+    return {bytes(r["entry"]): float(r["odds"]) for r in df.orderBy(F.desc(F.col("t") * F.col("odds")), "entry").limit(LEXICON).collect()}
 
 
 @dataclass

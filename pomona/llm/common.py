@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 from collections.abc import Iterator
 
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task handles at once; longer single texts are handled whole.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +49,20 @@ def fold_of(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(n))
 
 
+@functools.lru_cache(1)
+def _heap_trimmer():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: Python workers outlive their tasks, and what they hold counts."""
+    pa.default_memory_pool().release_unused()
+    _heap_trimmer()(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut between rows so that each holds about `limit` bytes of the text column at most."""
     for batch in batches:
@@ -57,7 +73,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLI
         starts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], batch.num_rows]):
             yield batch.slice(int(a), int(b - a))
-            pa.default_memory_pool().release_unused()  # workers live on; what they hold counts
+            trim()
 
 
 def filled(array: pa.Array) -> pa.Array:

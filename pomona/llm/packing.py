@@ -226,7 +226,7 @@ def pack_texts(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text
                 columns.append(pa.array([p.ids.astype(np.int32) for p, _, _ in got], kind))
             yield pa.RecordBatch.from_arrays(columns, names=["text_key", *(f.split()[0] for f in fields.split(", "))])
 
-        for b in text_slices(batches, "raw", 6 << 20):
+        for b in text_slices(batches, "raw", 3 << 20):
             keys = b.column("text_key").type
             flat, begin = token_ids(b.column("raw"), path, pattern)
             placed = []

@@ -199,6 +199,21 @@ def test_toxicity(spark):
     assert (np.diff(y) >= 0).all()
 
 
+def test_lexicon_prefers_telling_entries(spark, monkeypatch):
+    """Frequent entries that say little must not crowd out rare ones that say all."""
+    from pomona.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "LEXICON", 6)
+    monkeypatch.setattr(toxicity, "LEAST_ODDS", 1.0)
+    rows = []
+    for i in range(600):
+        y = int(i % 6 == 0)
+        w = ["calm", "words", "here"] + [f"vague{k}x" for k in range(12) if (i * 7 + k) % (3 if y else 9) == 0] + ["rotten"] * (y and i % 12 == 0)
+        rows.append((i, " ".join(w), y))
+    found = toxicity._lexicon(spark.createDataFrame(rows, "doc_id long, raw string, toxic int"))
+    assert b"rotten" in found and len(found) == 6
+
+
 # --- nearest neighbours
 
 

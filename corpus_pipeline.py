@@ -18,6 +18,8 @@ from pomona.llm.toxicity import score_toxicity
 
 #: A language is accepted from this share of the summed likelihoods on.
 LANGUAGE_SCORE = 0.5
+#: Two documents are near-duplicates from this percentage of common shingles on.
+NEAR_PERCENT = 80
 _KEEP = "__keep"
 
 
@@ -43,7 +45,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
-    groups = near_groups(docs)
+    groups = near_groups(docs, percent=NEAR_PERCENT)
     return _kept(docs, groups.select("doc_id", F.col("kept").alias(_KEEP)))
 
 

@@ -5,14 +5,15 @@
    which stops for a text as soon as every bin holds a smaller rank than any later draw can have.
 2. Texts with equal sets are one class (their similarity is 1); from here on only one representative
    per class takes part.
-3. BANDS bands of ROWS values each are hashed into buckets. In a bucket every member is compared with the
+3. Bands of some values each (see `banding`) are hashed into buckets. In a bucket every member is compared with the
    smallest id alone (linear, whatever the bucket's size), on full sets. Verified links are merged.
 4. Buckets whose members still belong to several groups are finished exactly: small ones by their pairs
    across groups, large ones in pairs of bounded blocks, where a local union-find skips what is already
    linked and only links that merge two groups leave the task.
 5. All links together are merged by star contraction, a distributed union-find.
 
-At similarity 0.85 a pair misses all 32 bands of 8 with probability 4e-5, at 0.9 with 2e-8.
+At similarity 0.85 a pair misses all 32 bands of 8 with probability 4e-5, at 0.9 with 2e-8; at 0.8, where a
+caller asks for that, it misses all 42 bands of 6 with 3e-6.
 Nothing that grows with the documents goes to the driver.
 """
 
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from pomona.llm.common import GOLDEN, by_ids, hash_bytes, mix, shared_checkpoint, text_slices, words
 
 SHINGLE, PERCENT = 5, 85
-BANDS, ROWS = 32, 8
+#: Values of a signature at most, and how often a pair at the threshold itself may share no band.
+VALUES, MISS = 256, 1e-4
 #: Buckets up to SMALL members are finished by pairs; larger ones in blocks of about BLOCK members.
 SMALL, BLOCK = 8, 256
 #: Elements whose permutations are held at once.
@@ -64,10 +66,19 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.n
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), sizes
 
 
-def superminhash(elements: np.ndarray, sizes: np.ndarray, m: int = BANDS * ROWS) -> np.ndarray:
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and the values of each for pairs from `percent` on: the longest bands that miss few enough at it."""
+    for rows in range(VALUES, 1, -1):
+        bands = VALUES // rows
+        if (1 - (percent / 100) ** rows) ** bands <= MISS:
+            return bands, rows
+    return VALUES, 1
+
+
+def superminhash(elements: np.ndarray, sizes: np.ndarray, m: int = VALUES) -> np.ndarray:
     """Signatures (texts, m) of sets laid one after another; a value is rank << 48 | 48 random bits."""
-    if m > 256:
-        raise ValueError("at most 256 values")
+    if m > VALUES:
+        raise ValueError(f"at most {VALUES} values")
     out = np.full((len(sizes), m), np.iinfo(np.uint64).max, np.uint64)
     ends = np.cumsum(sizes)
     first = 0
@@ -109,7 +120,7 @@ def _sign(x: np.ndarray, owner: np.ndarray, sig: np.ndarray, m: int) -> None:
                 perm = perm[keep]
 
 
-def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit key for each band, (texts, bands)."""
     v = sig.reshape(len(sig), bands, rows)
     key = np.zeros((len(sig), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * GOLDEN
@@ -118,21 +129,22 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return key
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(id, raw) -> id, n, h1, h2 (128 bits of the set), bands."""
+    n_bands, n_rows = banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "raw"):
             elements, sizes = shingle_sets(b.column("raw"))
             full = np.flatnonzero(sizes)
-            keys = np.zeros((len(sizes), BANDS), np.uint64)
+            keys = np.zeros((len(sizes), n_bands), np.uint64)
             sums = np.zeros((2, len(sizes)), np.uint64)
             if len(full):
                 starts = (np.cumsum(sizes) - sizes)[full]
-                keys[full] = band_keys(superminhash(elements, sizes[full]))
+                keys[full] = band_keys(superminhash(elements, sizes[full], n_bands * n_rows), n_bands, n_rows)
                 for i, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
                     sums[i, full] = np.add.reduceat(mix(elements ^ np.uint64(salt)), starts)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1).view(np.int64)))
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * n_bands), pa.array(keys.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), bands], names=["id", "n", "h1", "h2", "bands"])
 
     return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n long, h1 long, h2 long, bands array<long>")
@@ -174,14 +186,14 @@ def components(links: DataFrame) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     s = sets.select("id", "sh")
     out = pairs.join(s.select(F.col("id").alias("a"), F.col("sh").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("sh").alias("sb")), "b")
-    near = F.size("sa") * 100 >= F.size("sb") * PERCENT
-    near &= F.size("sb") * 100 >= F.size("sa") * PERCENT
+    near = F.size("sa") * 100 >= F.size("sb") * percent
+    near &= F.size("sb") * 100 >= F.size("sa") * percent
     common = F.size(F.array_intersect("sa", "sb"))
-    return out.where(near).where(common * 100 >= (F.size("sa") + F.size("sb") - common) * PERCENT).select("a", "b")
+    return out.where(near).where(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b")
 
 
 def _common_sizes(sa: list[np.ndarray], sb: list[np.ndarray]) -> np.ndarray:
@@ -202,7 +214,7 @@ def _common_sizes(sa: list[np.ndarray], sb: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def block_links(ids: list, comps: list, blocks: np.ndarray, sets: list[np.ndarray]) -> list[tuple]:
+def block_links(ids: list, comps: list, blocks: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple]:
     """Links between two blocks (or within one) that merge groups not merged before."""
     parent: dict = {}
 
@@ -216,7 +228,7 @@ def block_links(ids: list, comps: list, blocks: np.ndarray, sets: list[np.ndarra
     right = left if blocks.min() == blocks.max() else np.flatnonzero(blocks != blocks.min())
     common = _common_sizes([sets[i] for i in left], [sets[i] for i in right])
     sizes = np.array([len(s) for s in sets], np.int64)
-    near = common * 100 >= (sizes[left][:, None] + sizes[right] - common) * PERCENT
+    near = common * 100 >= (sizes[left][:, None] + sizes[right] - common) * percent
     out = []
     for i, j in zip(*np.nonzero(near)):
         a, b = int(left[i]), int(right[j])
@@ -227,16 +239,17 @@ def block_links(ids: list, comps: list, blocks: np.ndarray, sets: list[np.ndarra
     return out
 
 
-def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: key, n_shingles, component_id (smallest key reachable by links), kept.
 
+    percent: two texts are linked from this Jaccard similarity of their shingles on, in hundredths.
     Defined cases: null text or text without words has no set (n_shingles 0) and is linked with nothing;
     rows with a null key are linked with nothing and have a null component_id, and are kept; rows that
     share a key are one document, linked with what any of its texts is; repeated rows stay rows; an
     empty table gives an empty result; other columns are ignored. Keys may be of any orderable type.
     """
     docs = df.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("raw"))
-    base = shared_checkpoint(signatures(docs))
+    base = shared_checkpoint(signatures(docs, percent))
     some = base.where("n > 0 and id is not null")
     reps = some.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "bands")).alias("x")).select("h1", "h2", "n", F.col("x.id").alias("rep"), F.col("x.bands").alias("bands"))
     rows = reps.select("rep", F.explode("bands").alias("bucket"))
@@ -245,7 +258,7 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     stars = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     ids = members.select(F.col("rep").alias("id"))
     sets = shared_checkpoint(full_sets(by_ids(docs, ids, "left_semi")))
-    links = shared_checkpoint(_verified(stars, sets))
+    links = shared_checkpoint(_verified(stars, sets, percent))
     comps = components(links)
     # what is still apart inside a bucket
     m = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -254,7 +267,7 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     small = m.where(F.col("size") <= SMALL).select("bucket", "rep", "comp")
     pairs = small.join(small.select("bucket", F.col("rep").alias("b"), F.col("comp").alias("comp_b")), "bucket").where("rep > b and comp <> comp_b")
     pairs = pairs.select(F.col("rep").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = _verified(pairs, sets).union(_large_links(m.where(F.col("size") > SMALL), sets))
+    more = _verified(pairs, sets, percent).union(_large_links(m.where(F.col("size") > SMALL), sets, percent))
     final = components(links.union(more))
     # back to classes, then to rows
     classes = reps.select("h1", "h2", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("comp", "rep").alias("component_id"))
@@ -262,7 +275,7 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return named.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _large_links(m: DataFrame, sets: DataFrame) -> DataFrame:
+def _large_links(m: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links inside large buckets, each pair of blocks in a task of its own."""
     kind = dict(m.dtypes)["rep"]
     n = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -274,7 +287,7 @@ def _large_links(m: DataFrame, sets: DataFrame) -> DataFrame:
         sets_of = t.column("sh").combine_chunks()
         flat, at = sets_of.flatten().to_numpy(), sets_of.offsets.to_numpy()
         at = at - at[0]
-        found = block_links(t.column("rep").to_pylist(), t.column("comp").to_pylist(), t.column("block").to_numpy(), [flat[a:b] for a, b in zip(at[:-1], at[1:])])
+        found = block_links(t.column("rep").to_pylist(), t.column("comp").to_pylist(), t.column("block").to_numpy(), [flat[a:b] for a, b in zip(at[:-1], at[1:])], percent)
         return pa.table({"a": pa.array([x for x, _ in found], t.column("rep").type), "b": pa.array([y for _, y in found], t.column("rep").type)})
 
     return m.groupBy("bucket", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")

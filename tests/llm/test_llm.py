@@ -295,6 +295,23 @@ def test_near_groups(spark, monkeypatch):
     assert near_dup.near_groups(empty(spark)).count() == 0
 
 
+def test_near_groups_from_another_threshold(spark):
+    """Pairs at 0.802 and 0.835 are linked by the pipeline's stage, not at 85 %; pairs at 0.786 never are."""
+    import corpus_pipeline
+    from pomona.llm.near_dup import banding, near_groups
+
+    assert banding(85) == (32, 8) and banding(80) == (42, 6)
+    texts = []
+    for i in range(90):  # 100 shingles each, of which the second text changes the last 11, 9 or 12
+        w = [f"w{i}x{k}" for k in range(104)]
+        texts += [" ".join(w), " ".join(w[: -(11, 9, 12)[i % 3]] + [f"z{i}x{k}" for k in range((11, 9, 12)[i % 3])])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert near_groups(df).where("kept").count() == 180
+    linked = {2 * i + 1 for i in range(90) if i % 3 < 2}
+    assert {r.doc_id for r in near_groups(df, percent=80).where("not kept").collect()} == linked
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()} == set(range(180)) - linked
+
+
 def test_superminhash_estimates():
     from pomona.llm.near_dup import superminhash
 

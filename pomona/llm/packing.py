@@ -12,17 +12,19 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pomona.llm.bpe import chunks, gather
-from pomona.llm.common import text_slices
+from pomona.llm.common import filled, text_slices
 
 CAPACITY, SEGMENTS, END_ID, WINDOW = 2048, 512, 1, 512
 
@@ -139,9 +141,11 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 @functools.lru_cache(2)
-def load_encoder(path: str, pattern: str) -> Callable[[str], list[int]]:
+def load_encoder(path: str, pattern: str) -> tuple[Callable[[str], list[int]], dict[int, int], dict[str, int]]:
     """An encoder of plain text with the ids of a byte-level BPE in a `tokenizers` file, whose merges must stand in id order.
 
+    Returns it, the bytes of each token, and the file's added tokens, which texts are to be cut at first.
+
     If each token's own bytes encode to that token, as the tests hold for the file in use, then no two
     adjacent tokens can ever join to a third but by its listed merge, so encoding by ranks of joined
     bytes gives the same ids as the library that the file is for, in a fifth of its time.
@@ -149,7 +153,12 @@ def load_encoder(path: str, pattern: str) -> Callable[[str], list[int]]:
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        file = json.load(f)
+    model, added = file["model"], {}
+    for t in file.get("added_tokens") or []:
+        if t["single_word"] or t["lstrip"] or t["rstrip"]:
+            raise ValueError(f"added tokens with conditions on their surroundings are not supported: {t['content']}")
+        added[t["content"]] = t["id"]
     alphabet, vocab = _byte_alphabet(), model["vocab"]
     last = -1
     for merge in model["merges"]:
@@ -158,20 +167,45 @@ def load_encoder(path: str, pattern: str) -> Callable[[str], list[int]]:
             raise ValueError("the merges of this vocabulary are not in the order of their ids")
         last = made
     ranks = {bytes(alphabet[c] for c in t): i for t, i in vocab.items() if all(c in alphabet for c in t) and i <= last}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, {i: len(t) for t, i in ranks.items()}
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, {i: len(t) for t, i in ranks.items()}, added
+
+
+def split_added(texts: pa.Array, added: dict[str, int]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Texts cut at added tokens, from the left and the longest first.
+
+    Returns the segments, each text's first one (one more than texts), and the added token after each, or -1.
+    """
+    texts = filled(texts)
+    hit = np.zeros(len(texts), bool)
+    for t in added:
+        hit |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+    if not hit.any():
+        return texts, np.arange(len(texts) + 1), np.full(len(texts), -1, np.int64)
+    cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")")
+    segments, follows, first = [], [], [0]
+    for text, h in zip(texts.to_pylist(), hit.tolist()):
+        parts = cut.split(text) if h else [text]
+        segments += parts[::2]
+        follows += [*(added[t] for t in parts[1::2]), -1]
+        first.append(len(segments))
+    return pa.array(segments, pa.large_string()), np.array(first, np.int64), np.array(follows, np.int64)
 
 
 def token_ids(texts: pa.Array, path: str, pattern: str, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' ids, one after another, each text's followed by end_id, and where each begins (one more than texts)."""
-    encode, width = load_encoder(path, pattern)
+    """All texts' ids, one after another, with the file's added tokens inside texts, each text's followed by end_id, and where each begins (one more than texts)."""
+    encode, width, added = load_encoder(path, pattern)
     widths = np.zeros(max(width) + 1, np.int64)
     widths[list(width)] = list(width.values())
-    offsets, ids, distinct, joins = chunks(texts)
+    segments, first, follows = split_added(texts, added)
+    if end_id is not None:
+        follows[first[1:] - 1] = end_id
+    singles, which = np.unique(follows[follows >= 0], return_inverse=True)
+    offsets, ids, distinct, joins = chunks(segments)
     together, alone = np.flatnonzero(joins), np.flatnonzero(~joins)
     parts = [distinct[i] for i in together.tolist()]
     flat = np.array(encode("".join(parts)), np.int64)
     ends = np.cumsum(np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts)))
-    count, starts = np.zeros(len(distinct) + 1, np.int64), np.zeros(len(distinct) + 1, np.int64)
+    count, starts = np.zeros(len(distinct) + len(singles), np.int64), np.zeros(len(distinct) + len(singles), np.int64)
     at = np.r_[0, np.searchsorted(np.cumsum(widths[flat]), ends) + 1] if len(parts) else np.zeros(1, np.int64)
     count[together], starts[together] = np.diff(at), at[:-1]
     pools, total = [flat], len(flat)
@@ -180,11 +214,12 @@ def token_ids(texts: pa.Array, path: str, pattern: str, end_id: int | None = END
         count[i], starts[i] = len(own), total
         total += len(own)
         pools.append(np.array(own, np.int64))
-    if end_id is not None:
-        count[-1], starts[-1] = 1, total
-        pools.append(np.array([end_id], np.int64))
-        ids = np.insert(ids, offsets[1:], len(distinct))
-        offsets = offsets + np.arange(len(offsets))
+    if len(singles):
+        count[len(distinct) :], starts[len(distinct) :] = 1, total + np.arange(len(singles))
+        pools.append(singles)
+        ids = np.insert(ids, offsets[1:][follows >= 0], len(distinct) + which)
+        offsets = offsets + np.r_[0, np.cumsum(follows >= 0)]
+    offsets = offsets[first]
     pool = np.concatenate(pools).astype("<u4")
     begin = np.r_[0, np.cumsum(count[ids])][offsets]
     return gather(starts, count, pool, ids), begin

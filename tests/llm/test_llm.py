@@ -409,6 +409,30 @@ def test_packing(spark):
     assert pack_texts(empty(spark), path, P.PATTERN).count() == 0
 
 
+def test_packing_keeps_added_tokens(spark):
+    """The library's ids by its default, which knows the file's added token inside a text."""
+    from tokenizers import Tokenizer
+
+    from pomona.llm.packing import pack_texts, token_ids
+
+    path, end = P.path("byte_bpe_50k.json"), "<|endoftext|>"
+    t = Tokenizer.from_file(path)
+    texts = [f"a {end} b", end, end * 3, f"{end}a", f"a  {end}  ", f"\n{end}\n\n{end} x", "<|endoftext|", f"<|{end}|>", f"日本{end}🙂\0{end} lead"]
+    texts = [x for pair in zip(texts, ["plain words here", "", None, " ", "\n", "x  y", "=" * 50, "it's", "ünï"]) for x in pair]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    for end_id in (None, 1):
+        for at in (0, 3):
+            flat, begin = token_ids(pa.array(texts).slice(at), path, P.PATTERN, end_id)
+            assert [flat[a:z].tolist() for a, z in zip(begin[:-1], begin[1:])] == [w + [1] * (end_id is not None) for w in want[at:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in pack_texts(df, path, P.PATTERN, keep_ids=True).orderBy("doc_id", "start").collect():
+        assert r.doc_tokens == len(want[r.doc_id]) + 1
+        got.setdefault(r.doc_id, []).extend(r.ids)
+    assert got == {i: w + [1] for i, w in enumerate(want)}
+
+
 def test_packer_limits():
     from pomona.llm.packing import Packer, Piece
 

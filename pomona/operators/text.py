@@ -22,6 +22,11 @@ def eol_statistics(text: Column) -> dict[str, Column]:
     }
 
 
+def byte_text(text: Column) -> Column:
+    """The text's UTF-8 bytes with one character a byte."""
+    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+
+
 #: Bytes that mark a binary file (controls but backspace, tab, line feed, form feed and return; delete; 80-9F).
 BINARY = "[\\x00-\\x07\\x0B\\x0E-\\x1F\\x7F\\x80-\\x9F]"
 LEAST_TEXT = 40

@@ -71,6 +71,12 @@ def text_detection(t):
     return _line_ends(t).where(F.octet_length("t") == F.length("t")).select("doc_id", T.text_kind(F.col("t")).alias("kind"))
 
 
+@query(None)
+def text_detection_all(t):
+    """Every text, by its bytes in UTF-8; null is the empty text."""
+    return _line_ends(t).select("doc_id", T.text_kind(T.byte_text(F.coalesce("t", F.lit("")))).alias("kind"))
+
+
 @query("""select page_id, split_part(u, '/', -1) as name, case when position('.' in split_part(url, '/', -1)) = 0 or split_part(split_part(url, '/', -1), '.', -1) = '' then '' else '.' || split_part(split_part(url, '/', -1), '.', -1) end as extension
 from (select page_id, url, case when url like '%/' then left(url, length(url) - 1) else url end as u from pages)""")
 def file_name_parts(t):

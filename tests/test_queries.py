@@ -49,6 +49,24 @@ def test_query_without_sql(spark, name):
         assert all(r.good and not r.unmarked and not r.unused and not r.conflict for r in got)
 
 
+def test_text_detection_of_all_documents(spark, tmp_path):
+    texts = [None, "", "plain " * 9, "Grüße aus Köln und München, ÄÖÜß\n" * 4, "naïve café\n" * 9, "À" * 60 + "\n", "日本語" * 30, "é" * 200 + "\n", "x" * 39 + "é", "short\n", "x" * 99 + "\u0081\n", "x\x01\x02" + "y" * 60, "’" + "z" * 120 + "\n"]
+    rows = [(i if i < 30 else None, texts[i % len(texts)]) for i in range(36)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def kind(i, text):
+        b = (text or "").replace("\n", {1: "\r", 2: "\r\n"}.get(i is not None and i % 3, "\n")).encode()
+        lf, cr = b.count(b"\n"), b.count(b"\r")
+        binary = sum(c < 8 or c == 11 or 14 <= c < 32 or c == 127 or 128 <= c < 160 for c in b)
+        if len(b) < 40 or binary > (1 if len(b) < 100 else len(b) // 100):
+            return "off"
+        return "lf" if lf and not cr else "cr" if cr and not lf else "crlf" if lf and lf == cr else "unknown"
+
+    got = [(r.doc_id, r.kind) for r in catalog.QUERIES["text_detection_all"](spark, str(tmp_path)).collect()]
+    want = [(i, kind(i, x)) for i, x in rows]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and {k for _, k in want} == {"off", "lf", "cr", "crlf", "unknown"}
+
+
 def test_entry_without_the_subpackage():
     code = """
 import sys

@@ -167,6 +167,18 @@ def catalog_sort(t):
     return top.select("p_partkey", F.row_number().over(Window.orderBy("kind", "p_size", "p_partkey")).alias("rank"))
 
 
+@query("""select p_partkey, row_number() over (order by lower(p_type), p_size, p_partkey) as rank from part""")
+def catalog_sort_all(t):
+    """The whole list in the order of `catalog_sort`: a row's rank is its place in its type and size, after all that come before these."""
+    p = t("part").select("p_partkey", F.lower("p_type").alias("kind"), "p_size")
+    sizes = p.groupBy("kind", "p_size").agg(F.count(F.lit(1)).alias("n"))  # the window without partitions runs over these alone
+    before = F.coalesce(F.sum("n").over(Window.orderBy("kind", "p_size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("kind").alias("k"), F.col("p_size").alias("s"), before.alias("before"))
+    place = F.row_number().over(Window.partitionBy("kind", "p_size").orderBy("p_partkey"))
+    ranked = p.select("p_partkey", "kind", "p_size", place.alias("place"))
+    return ranked.join(starts, F.col("kind").eqNullSafe(F.col("k")) & F.col("p_size").eqNullSafe(F.col("s"))).select("p_partkey", (F.col("before") + F.col("place")).alias("rank"))
+
+
 @query("""(select 'down' as way, p_partkey from part where contains(lower(p_name), 'e') order by case when p_partkey > 120 then 0 else 1 end, p_partkey limit 1)
 union all (select 'up', p_partkey from part where contains(lower(p_name), 'o') order by case when p_partkey < 3 then 0 else 1 end, p_partkey desc limit 1)""")
 def find_next(t):

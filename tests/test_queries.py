@@ -67,6 +67,15 @@ def test_text_detection_of_all_documents(spark, tmp_path):
     assert sorted(map(str, got)) == sorted(map(str, want)) and {k for _, k in want} == {"off", "lf", "cr", "crlf", "unknown"}
 
 
+def test_catalog_sort_of_the_whole_list(spark, tmp_path):
+    rows = [(i * 7 % 301, [None, "Large Tin", "large tin", "SMALL", "small Tin"][i % 5], i % 3) for i in range(301)]
+    spark.createDataFrame(rows, "p_partkey long, p_type string, p_size int").repartition(5).write.parquet(f"{tmp_path}/part.parquet")
+    got = catalog.QUERIES["catalog_sort_all"](spark, str(tmp_path)).collect()
+    order = sorted(rows, key=lambda r: (r[1] is not None, (r[1] or "").lower(), r[2], r[0]))
+    assert [r.p_partkey for r in sorted(got, key=lambda r: r.rank)] == [r[0] for r in order]
+    assert sorted(r.rank for r in got) == list(range(1, 302))
+
+
 def test_entry_without_the_subpackage():
     code = """
 import sys

@@ -76,6 +76,18 @@ def test_catalog_sort_of_the_whole_list(spark, tmp_path):
     assert sorted(r.rank for r in got) == list(range(1, 302))
 
 
+def test_recompress_compare_of_all_documents(spark, tmp_path, monkeypatch):
+    rows = [(i if i < 40 else None, f"text {i}") for i in range(45)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    sides = {r.side: r.n for r in catalog.QUERIES["recompress_compare_all"](spark, str(tmp_path)).collect()}
+    assert sides == {"lost": 4, "new": 4}
+    seen = []
+    monkeypatch.setattr(catalog, "_compared", lambda d: seen.append(d) or d)
+    catalog.QUERIES["recompress_compare_all"](spark, str(tmp_path))
+    assert sorted(map(str, seen[0].collect())) == sorted(map(str, df.collect()))
+
+
 def test_entry_without_the_subpackage():
     code = """
 import sys

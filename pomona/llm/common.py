@@ -24,12 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """df written once to the cluster's shared checkpoint folder, with its lineage cut.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) a local one is made.
+    The folder is the session's spark.checkpoint.dir. Where that is unset, a session in one process
+    (tests) gets a folder of its own; a cluster is refused, as its executors would not share one.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 
 from pomona.llm.common import spread, text_slices
 
-#: Payload bytes coded or decoded at once; a longer single payload is handled whole.
+#: Payload bytes coded or decoded at once, and blocks of a longer single payload.
 CHUNK = 2 << 20
-#: Blocks in one row of the image, before the rows are evened out.
-ROW_BLOCKS = 1024
+BLOCKS = CHUNK // 64
+#: Blocks in one row of the image, before the rows are evened out, and at most on a side (65,535 pixels).
+ROW_BLOCKS, SIDE = 1024, 8191
 UNIT = 64
 
 
@@ -59,12 +60,12 @@ def _segment(marker: int, body: bytes) -> bytes:
 
 def _grid(blocks: int) -> tuple[int, int]:
     """Width and height in blocks; fewer than one row's worth of the grid stays unused."""
-    rows = -(-blocks // ROW_BLOCKS)
+    rows = -(-blocks // max(ROW_BLOCKS, -(-blocks // SIDE)))
     return -(-blocks // rows), rows
 
 
 def _header(n_bytes: int, width: int, height: int) -> bytes:
-    if width > 8191 or height > 8191:
+    if width > SIDE or height > SIDE:
         raise ValueError("a payload over 4 GB does not fit one image")
     return (
         b"\xff\xd8" + _segment(0xFE, b"bytes %d" % n_bytes) + _segment(0xDB, b"\0" + b"\1" * 64) + _segment(0xC0, struct.pack(">BHHB", 8, height * 8, width * 8, 1) + b"\1\x11\0")
@@ -119,8 +120,29 @@ def encode(payloads: Sequence[bytes]) -> list[bytes]:
     used = [max(1, -(-len(p) // UNIT)) for p in payloads]
     grids = [_grid(n) for n in used]
     blocks = np.array([w * h for w, h in grids], np.int64)
+    if len(payloads) > 1 and blocks.max() > BLOCKS:
+        short = [p for p, n in zip(payloads, blocks) if n <= BLOCKS]
+        rest = iter(encode(short) if short else [])
+        return [next(rest) if n <= BLOCKS else encode([p])[0] for p, n in zip(payloads, blocks)]
+    if len(payloads) == 1 and blocks[0] > BLOCKS:  # a long payload, some blocks at a time
+        p, n = payloads[0], int(blocks[0])
+        parts = [_header(len(p), *grids[0])]
+        for a in range(0, n, BLOCKS):
+            z = min(a + BLOCKS, n)
+            some = p[a * UNIT : z * UNIT]
+            out, _ = _scan(np.frombuffer(some + bytes((z - a) * UNIT - len(some)), np.uint8).reshape(-1, UNIT), np.arange(a, z), np.arange(a, z) == n - 1)
+            parts.append(out.tobytes())
+        return [b"".join([*parts, b"\xff\xd9"])]
     data = b"".join(p + bytes(w * h * UNIT - len(p)) for p, (w, h) in zip(payloads, grids))
-    v = np.frombuffer(data, np.uint8).reshape(-1, UNIT)
+    ends = np.zeros(int(blocks.sum()), bool)
+    ends[np.cumsum(blocks) - 1] = True
+    out, stop = _scan(np.frombuffer(data, np.uint8).reshape(-1, UNIT), spread(blocks), ends)
+    start = np.r_[0, stop[:-1]]
+    return [_header(len(p), *g) + out[a:b].tobytes() + b"\xff\xd9" for p, g, a, b in zip(payloads, grids, start, stop)]
+
+
+def _scan(v: np.ndarray, nth: np.ndarray, ends_file: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scan bytes of blocks that are the nth of their files, and where each file that ends here stops."""
     n = len(v)
     # Blocks without zeros take the short way; each block's bits start on a byte.
     dense = v.all(1)
@@ -135,9 +157,7 @@ def encode(payloads: Sequence[bytes]) -> list[bytes]:
     packed[row_at + row_bytes - 1] |= ((1 << fill) - 1).astype(np.uint8)
     # Stuffing after FF, and a restart marker after each block but a file's last.
     width = 1 + (packed == 255)
-    ends_file = np.cumsum(blocks) - 1
-    marker = np.full(n, 2)
-    marker[ends_file] = 0
+    marker = np.where(ends_file, 0, 2)
     last_byte = row_at + row_bytes - 1
     width[last_byte] += marker
     place = np.cumsum(width) - width
@@ -145,10 +165,8 @@ def encode(payloads: Sequence[bytes]) -> list[bytes]:
     out[place] = packed
     marked = np.flatnonzero(marker)
     m = (place + width)[last_byte[marked]] - 2
-    out[m], out[m + 1] = 255, 0xD0 + (spread(blocks)[marked] & 7)
-    stop = np.append(place, len(out))[np.r_[last_byte[ends_file] + 1]]
-    start = np.r_[0, stop[:-1]]
-    return [_header(len(p), *g) + out[a:b].tobytes() + b"\xff\xd9" for p, g, a, b in zip(payloads, grids, start, stop)]
+    out[m], out[m + 1] = 255, 0xD0 + (nth[marked] & 7)
+    return out, np.append(place, len(out))[last_byte[ends_file] + 1]
 
 
 class Frame:
@@ -241,11 +259,6 @@ def _decode_alike(frames: list[Frame], files: list[bytes]) -> list[np.ndarray]:
     stuffed, restarts = ff[after == 0], ff[(after >= 0xD0) & (after <= 0xD7)]
     others = ff[(after != 0) & ((after < 0xD0) | (after > 0xD7))]
     stops = others[np.searchsorted(others, starts)]
-    keep = np.ones(len(raw), bool)
-    keep[stuffed + 1] = False
-    kept_at = np.cumsum(keep) - keep
-    data = np.r_[raw[keep], np.zeros(8, np.uint8)].astype(np.uint32)
-    window = (data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]).astype(np.int64)
     owner = np.searchsorted(starts, restarts, "right") - 1
     restarts, owner = restarts[restarts < stops[owner]], owner[restarts < stops[owner]]
     begin = np.r_[starts, restarts + 2]
@@ -263,9 +276,25 @@ def _decode_alike(frames: list[Frame], files: list[bytes]) -> list[np.ndarray]:
     part_of = np.array([i for i, p in enumerate(one.parts) for _ in range(p[1] * p[2])])
     dc_of, ac_of = np.array([tables.index(p[4]) for p in one.parts]), np.array([tables.index(0x10 | p[5]) for p in one.parts])
     coef = np.zeros((int((mcus * per_mcu).sum()), 64), np.int16)
-    live = left > 0
-    bit, block, left = kept_at[begin][live] * 8, block[live], left[live]
-    k, j, last = np.zeros(len(bit), np.int64), np.zeros(len(bit), np.int64), np.zeros((len(bit), len(one.parts)), np.int64)
+    # where each interval's bytes end: before the next one's marker, or at the file's next marker
+    stop = np.minimum(np.r_[begin[1:] - 2, len(raw)], stops[owner])
+    live = np.flatnonzero(left > 0)
+    for some in np.split(live, range(BLOCKS, len(live), BLOCKS)):
+        if len(some):
+            _decode_run(raw, stuffed, begin[some], stop[some], block[some], left[some], coef, look, part_of, dc_of, ac_of)
+    return [coef[b : b + m * per_mcu] for b, m in zip(base, mcus)]
+
+
+def _decode_run(raw, stuffed, begin, stop, block, left, coef, look, part_of, dc_of, ac_of) -> None:
+    """Some intervals, one after another in `raw`, into their blocks of `coef`, all in lockstep."""
+    lo, hi, per_mcu = int(begin[0]), int(stop.max()), len(part_of)
+    extra = stuffed[np.searchsorted(stuffed, lo) : np.searchsorted(stuffed, hi)] + 1 - lo
+    keep = np.ones(hi - lo, bool)
+    keep[extra[extra < hi - lo]] = False
+    data = np.r_[raw[lo:hi][keep], np.zeros(8, np.uint8)].astype(np.uint32)
+    window = (data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]).astype(np.int64)
+    bit = (begin - lo - np.searchsorted(extra, begin - lo)) * 8
+    k, j, last = np.zeros(len(bit), np.int64), np.zeros(len(bit), np.int64), np.zeros((len(bit), len(dc_of)), np.int64)
     flat, limit = coef.reshape(-1), (len(window) - 1) * 8
     while len(bit):
         part = part_of[j] if per_mcu > 1 else 0
@@ -304,7 +333,6 @@ def _decode_alike(frames: list[Frame], files: list[bytes]) -> list[np.ndarray]:
             live = left > 0
             if not live.all():
                 bit, block, left, k, j, last = bit[live], block[live], left[live], k[live], j[live], last[live]
-    return [coef[b : b + m * per_mcu] for b, m in zip(base, mcus)]
 
 
 def thumbnail(frame: Frame, coef: np.ndarray) -> np.ndarray:
@@ -337,7 +365,7 @@ def store_text(df: DataFrame, key: str = "doc_id", text: str = "text", keep_medi
     """Each text stored as a JPEG file and read back: key, digests and features, and `media` if asked for.
 
     Defined cases: null text is the empty text, whose payload is 64 zero bytes; null keys and repeated
-    rows are kept; a text of any length below 4 GB is one image; an empty table gives an empty
+    rows are kept; a text of any length (below 4 GB, which is more than a column can hold) is one image; an empty table gives an empty
     result; other columns are ignored.
     """
     src = df.select(F.col(key).alias("media_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("raw"))

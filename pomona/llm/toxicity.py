@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pomona.llm.common import filled, fold_of, shared_checkpoint, text_slices, words
 
-#: Labelled documents that the classifier is fitted on (expected number; a fixed hash of the id decides).
+#: Labelled documents that the classifier is fitted on at most (a fixed hash of the id decides).
 SAMPLE = 12_000
 #: Most lexicon entries, least toxic documents that hold one, least log odds and z score. Entries rank by toxic documents
 #: times log odds: a z score alone would favour frequent, vague ones.
@@ -71,18 +71,18 @@ def dense(texts: pa.Array, lexicon: dict[bytes, float]) -> np.ndarray:
     per = lambda x: np.bincount(owner, weights=x, minlength=n)
     hit = weight[ids] > 0
     many = np.maximum(n_words, 1)
-    out[:, 0], out[:, 2] = np.minimum(per(hit), 50), np.minimum(per(weight[ids]), 200)
+    out[:, 0], out[:, 2] = per(hit), per(weight[ids])
     out[:, 1], out[:, 3] = per(hit) / many, per(weight[ids]) / many
     np.maximum.at(out[:, 4], owner[hit], weight[ids][hit])
     pairs = np.unique(owner[hit] * (len(values) + 1) + ids[hit])
-    out[:, 5] = np.minimum(np.bincount(pairs // (len(values) + 1), minlength=n), 20)
+    out[:, 5] = np.bincount(pairs // (len(values) + 1), minlength=n)
     at_hit, at_you = np.flatnonzero(hit), np.flatnonzero(you[ids])
     if len(at_hit) and len(at_you):
         j = np.searchsorted(at_you, at_hit)
         near = np.zeros(len(at_hit), bool)
         for k in (np.maximum(j - 1, 0), np.minimum(j, len(at_you) - 1)):
             near |= (np.abs(at_you[k] - at_hit) <= NEAR) & (owner[at_you[k]] == owner[at_hit])
-        out[:, 6] = np.minimum(np.bincount(owner[at_hit[near]], minlength=n), 20)
+        out[:, 6] = np.bincount(owner[at_hit[near]], minlength=n)
     out[:, 7], out[:, 12] = per(you[ids]) / many, per(odd[ids]) / many
     out[:, 14], out[:, 15] = np.log1p(n_words), per(length[ids]) / many
     raw = texts.cast(pa.large_binary())
@@ -99,9 +99,12 @@ def dense(texts: pa.Array, lexicon: dict[bytes, float]) -> np.ndarray:
 
     capital, lower = _CAPITAL[data], _LOWER[data]
     out[:, 8] = share(capital) / np.maximum(share(capital) + share(lower), 1e-9)
-    out[:, 9] = share(np.r_[False, capital[1:] & capital[:-1]]) if len(data) else 0
+    inside = np.ones(len(data), bool)  # a text's first byte has nothing before it
+    inside[at[:-1][full]] = False
+    if len(data):
+        out[:, 9] = share(inside & np.r_[False, capital[1:] & capital[:-1]])
+        out[:, 13] = share(inside & np.r_[False, data[1:] == data[:-1]])
     out[:, 10], out[:, 11] = share(_PUNCT[data]), share(_MARK[data])
-    out[:, 13] = share(np.r_[False, data[1:] == data[:-1]]) if len(data) else 0
     out[:, 16], out[:, 17] = share(_DIGIT[data]), share(_HIGH[data])
     return out
 
@@ -131,7 +134,7 @@ class Boosted:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Calibrated probability; a trace of the uncalibrated one keeps an order inside its steps."""
-        p = 1 / (1 + np.exp(-np.clip(self.raw(x), -30, 30)))
+        p = 1 / (1 + np.exp(-self.raw(x)))  # raw is far from overflow, or -inf without labels
         if self.steps is None:
             return p
         return np.clip(0.98 * np.interp(p, *self.steps) + 0.02 * p, 0, 1)
@@ -224,14 +227,20 @@ class Toxicity:
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None) -> Toxicity:
-    """docs (doc_id, raw) and labels (doc_id, toxic); only labelled documents that `training` allows are learnt from."""
+    """docs (doc_id, raw) and labels (doc_id, toxic); only labelled documents that `training` allows are learnt from.
+
+    At most SAMPLE labels are learnt from, whatever repeats: equal labels count once, and of documents that share
+    an id one stands for all.
+    """
     labels = labels.where("toxic in (0, 1) and doc_id is not null").where(F.lit(True) if training is None else training)
+    labels = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     n = labels.count()
-    share = min(1.0, SAMPLE / max(n, 1))
-    if share < 1:
-        labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = docs.join(F.broadcast(labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))), "doc_id")  # about SAMPLE rows
-    sample = shared_checkpoint(sample.select("doc_id", "raw", "toxic"))
+    if n > SAMPLE:  # a little more than needed by hash, then exactly SAMPLE
+        labels = labels.withColumn("draw", F.xxhash64("doc_id")).where(F.pmod("draw", F.lit(1 << 20)) < int(1.2 * SAMPLE / n * (1 << 20)))
+        labels = labels.orderBy("draw", "doc_id", "toxic").limit(SAMPLE).drop("draw")
+    found = docs.join(F.broadcast(labels), "doc_id")
+    sample = found.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("raw").alias("draw"), "raw")).alias("x"))
+    sample = shared_checkpoint(sample.select("doc_id", F.col("x.raw").alias("raw"), "toxic"))
     lexicon = _lexicon(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None) -> T
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4)).cast("int").alias("part")
     rows = sample.select("raw", "toxic", part).mapInArrow(run, "toxic int, part int, x array<double>").toPandas()
     if not len(rows):
-        return Toxicity(lexicon, Boosted(-30.0))
+        return Toxicity(lexicon, Boosted(-np.inf))
     x, y, part = np.stack(rows["x"]), rows["toxic"].to_numpy(float), rows["part"].to_numpy()
     order = np.lexsort([*x.T, y])  # the same model whatever the order of rows
     x, y, part = x[order], y[order], part[order]
@@ -259,8 +268,8 @@ def score_toxicity(df: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
     Labels are learnt from rows whose crc32(key as text) mod `fold` is not 0.
     Defined cases: null text is the empty text and is scored too; null keys and repeated rows are kept;
-    without any labelled rows every score is 0; labels that repeat or contradict each other all count; an
-    empty table gives an empty result; other columns are ignored.
+    without any labelled rows every score is 0; equal labels of an id count once, contradicting ones
+    both, and of documents that share an id one is learnt from; an empty table gives an empty result; other columns are ignored.
     """
     docs = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("raw"))
     model = fit(docs, labels.select(F.col(key).alias("doc_id"), "toxic"), fold_of(F.col("doc_id"), fold) != 0)

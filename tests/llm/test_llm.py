@@ -194,11 +194,79 @@ def test_toxicity(spark):
     other = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert {(r.doc_id, r.score) for r in score_toxicity(df, other).collect()} == {(r.doc_id, r.score) for r in got}
     assert score_toxicity(empty(spark), labels).count() == 0
-    assert {r.score for r in score_toxicity(df, labels.where("false")).collect()} <= {r.score for r in score_toxicity(df, labels.where("false")).collect()}
+    assert {r.score for r in score_toxicity(df, labels.where("false")).collect()} == {0.0}
     x, y = isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1.0, 0.0, 1.0]))
     assert (np.diff(y) >= 0).all()
 
 
+def plain_features(text, lexicon):
+    """The dense features of one text, word by word and byte by byte."""
+    from pomona.llm import toxicity as T
+
+    raw = text.encode()
+    w = [x for x in raw.lower().replace(b"\x0b", b" ").replace(b"\x0c", b" ").split() if x]
+    hits = [max(lexicon.get(u, 0.0) for u in T.units(x)) for x in w]
+    you = [T.units(x)[0] in T.SECOND_PERSON for x in w]
+    at = [i for i, h in enumerate(hits) if h > 0]
+    inner = [x.strip(T._STRIP) for x in w]
+    odd = [not x.isalpha() and x.isascii() and any(97 <= c <= 122 for c in x) and any(c in b"0134578@$*!_" for c in x[1:]) for x in inner]
+    n, size = max(len(w), 1), max(len(raw), 1)
+    is_in = lambda a, z: [a <= c <= z for c in raw]
+    cap, low = is_in(65, 90), is_in(97, 122)
+    punct = [33 <= c <= 47 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 126 for c in raw]
+    share = sum(cap) / size, sum(low) / size
+    return [
+        len(at), len(at) / n, sum(hits), sum(hits) / n, max(hits, default=0), len({w[i] for i in at}), sum(any(you[j] for j in range(max(0, i - 4), min(len(w), i + 5))) for i in at),
+        sum(you) / n, share[0] / max(sum(share), 1e-9), sum(a and b for a, b in zip(cap, cap[1:])) / size, sum(punct) / size, sum(c in b"!?" for c in raw) / size,
+        sum(odd) / n, sum(a == b for a, b in zip(raw, raw[1:])) / size, math.log1p(len(w)), sum(map(len, w)) / n, sum(is_in(48, 57)) / size, sum(c > 127 for c in raw) / size,
+    ]
+
+
+def test_toxicity_features_are_plain():
+    """A text's features are its own, whatever stands before it in a batch."""
+    from pomona.llm.toxicity import dense
+
+    rng = random.Random(16)
+    lexicon = {b"rotten": 4.0, b"^fool": 3.5, b"idiot": 5.0}
+    bits = ["rotten", "FOOLISH", "fools", "you", "Your", "1d10t", "id*ot", "AAA", "A", "aa!!", "fine", "dich", "ünï", "a1b2", "x\x1cy", "\x0b", "...", "7"]
+    texts = ["", "A", "AAB", "B", "zz", "z"] + [" ".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(200)] + ["rotten you " * 3000]
+    got = dense(pa.array(texts), lexicon)
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(plain_features(t, lexicon), abs=1e-9), t
+        assert (dense(pa.array([t]), lexicon)[0] == got[i]).all()
+
+
+def test_boosted_trees_and_isotonic_are_plain():
+    from pomona.llm import toxicity as T
+
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(500, 4))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    m = T.boost(x, y)
+    for row, raw in zip(x[:50], m.raw(x[:50])):  # trees walked node by node
+        total = m.prior
+        for f, c, leaf in zip(m.feature, m.cut, m.leaf):
+            node = 0
+            while node < 2**T.DEPTH - 1:
+                node = 2 * node + (2 if row[f[node]] > c[node] else 1)
+            total += leaf[node - 2**T.DEPTH + 1]
+        assert raw == pytest.approx(total)
+    # the first split is the best of all by exhaustive search over the same cuts
+    p = y.mean()
+    g, h = p - y, np.full(len(y), p * (1 - p) + 1e-6)
+    gain = lambda k: sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (k, ~k)) - g.sum() ** 2 / (h.sum() + 1)
+    best = max(gain(x[:, f] <= c) for f, e in enumerate(T._edges(x)) for c in e)
+    assert gain(x[:, m.feature[0][0]] <= m.cut[0][0]) == pytest.approx(best)
+    assert ((m.raw(x) > 0) == y).mean() > 0.95
+    # isotonic regression against its min-max formula
+    p, y = rng.random(60), (rng.random(60) < 0.5).astype(float)
+    order = np.argsort(p)
+    q = y[order]
+    fit = [max(min(q[a : z + 1].mean() for z in range(i, 60)) for a in range(i + 1)) for i in range(60)]
+    xs, ys = T.isotonic(p, y)
+    assert np.abs(np.interp(p[order], xs, ys) - fit).max() < 0.04 and (np.diff(ys) >= 0).all()
+
+
 def test_lexicon_prefers_telling_entries(spark, monkeypatch):
     """Frequent entries that say little must not crowd out rare ones that say all."""
     from pomona.llm import toxicity
@@ -387,8 +455,7 @@ def test_packing(spark):
 
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    texts = ODD + sample_texts(300, 9) + ["word " * 5000]
+    texts = ODD + ["a<|endoftext|>b"] + sample_texts(300, 9) + ["word " * 5000]
     df = docs(spark, texts).repartition(3)
     got = pack_texts(df, path, P.PATTERN, keep_ids=True).collect()
     ids_of = {r.doc_id: t.encode(r.text or "", add_special_tokens=False).ids + [1] for r in df.collect()}
@@ -448,7 +515,7 @@ def test_packer_limits():
         by.setdefault(s, []).append(p)
     assert sum(len(p.ids) for p, _, _ in out) == total
     for pieces in by.values():
-        assert sum(len(p.ids) for p in pieces) <= 128 and len(pieces) <= 4
+        assert sum(len(p.ids) for p in pieces) <= 128 and len(pieces) <= 4 and sum(int(p.loss.sum()) for p in pieces) <= 60
 
 
 # --- media columns
@@ -476,6 +543,22 @@ def test_jpeg(spark):
     assert jpeg.store_text(empty(spark)).count() == 0
 
 
+def test_jpeg_long_payloads(monkeypatch):
+    """Long payloads are coded and decoded some blocks at a time, with the same bytes; any length has a grid."""
+    from pomona.llm import jpeg
+
+    for n in (1, 600 << 20, 3 << 30, jpeg.SIDE**2 * 64):
+        w, h = jpeg._grid(-(-n // 64))
+        assert w * h * 64 >= n and jpeg._header(n, w, h)
+    rng = np.random.default_rng(15)
+    payloads = [b"a", rng.integers(0, 256, 90000).astype(np.uint8).tobytes(), b"b" * 70, b"\xff" * 70000]
+    files = jpeg.encode(payloads)
+    monkeypatch.setattr(jpeg, "BLOCKS", 100)
+    assert jpeg.encode(payloads) == files
+    for p, (frame, coef) in zip(payloads, jpeg.decode(files)):
+        assert jpeg.payload(frame, coef).rstrip(b"\0") == p
+
+
 def test_jpeg_without_restarts_and_with_signs():
     """A file of one interval, with differential DC and negative values, made bit by bit."""
     from pomona.llm import jpeg

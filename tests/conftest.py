@@ -8,12 +8,12 @@ sys.path.insert(0, str(ROOT))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     s = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.executorEnv.PYTHONPATH", str(ROOT)).getOrCreate()
+        .config("spark.executorEnv.PYTHONPATH", str(ROOT)).config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint"))).getOrCreate()
     )
     s.sparkContext.environment["PYTHONPATH"] = str(ROOT)
     s.sparkContext.setLogLevel("ERROR")

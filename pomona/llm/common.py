@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +50,11 @@ def by_ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, ids.columns, how).select(*df.columns)
 
 
+def carried(columns: Sequence[str]) -> list[Column]:
+    """Columns that go through an operator untouched, under names of its own."""
+    return [F.col(c).alias(f"carried_{i}") for i, c in enumerate(columns)]
+
+
 def fold_of(doc_id: Column, n: int) -> Column:
     """crc32 of the id's text, modulo n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(n))

@@ -7,10 +7,12 @@
    per class takes part.
 3. Bands of some values each (see `banding`) are hashed into buckets. In a bucket every member is compared with the
    smallest id alone (linear, whatever the bucket's size), on full sets. Verified links are merged.
-4. Buckets whose members still belong to several groups are finished exactly: small ones by their pairs
-   across groups, large ones in pairs of bounded blocks, where a local union-find skips what is already
-   linked and only links that merge two groups leave the task.
-5. All links together are merged by star contraction, a distributed union-find.
+4. Where a bucket's members still belong to several groups, rounds of further hubs follow: the smallest member of
+   each bucket's second group is compared with all members outside its group. This goes on while it merges groups.
+5. What is still apart is finished exactly: small buckets by their pairs across groups, large ones in pairs of
+   bounded blocks. A bucket's largest group is never compared with itself, a local union-find skips
+   what is already linked, and only links that merge two groups leave the task.
+6. All links together are merged by star contraction, a distributed union-find.
 
 At similarity 0.85 a pair misses all 32 bands of 8 with probability 4e-5, at 0.9 with 2e-8; at 0.8, where a
 caller asks for that, it misses all 42 bands of 6 with 3e-6.
@@ -33,6 +35,10 @@ SHINGLE, PERCENT = 5, 85
 VALUES, MISS = 256, 1e-4
 #: Buckets up to SMALL members are finished by pairs; larger ones in blocks of about BLOCK members.
 SMALL, BLOCK = 8, 256
+#: Pairs with one hub that meet its set in one task; rounds of further hubs at most (what they leave is finished exactly).
+HUB_PAIRS, ROUNDS = 512, 3
+#: A class of equal sets is large from this share of all rows on, so there are at most so many.
+LARGE_CLASSES = 10_000
 #: Elements whose permutations are held at once.
 LANES = 150_000
 _P = np.uint64(0x9E3779B97F4A7C55)
@@ -187,15 +193,31 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) whose full sets are similar enough. `parts`: tasks among which pairs with the same b are dealt."""
     s = sets.select("id", "sh")
-    out = pairs.join(s.select(F.col("id").alias("a"), F.col("sh").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("sh").alias("sb")), "b")
+    hubs = pairs.groupBy("b").agg(F.max("parts").alias("parts")).select(F.col("b").alias("id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = s.join(hubs, "id").select(F.col("id").alias("b"), "part", F.col("sh").alias("sb"))
+    left = pairs.withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts").join(s.select(F.col("id").alias("a"), F.col("sh").alias("sa")), "a")
+    out = left.join(right, ["b", "part"])
     near = F.size("sa") * 100 >= F.size("sb") * percent
     near &= F.size("sb") * 100 >= F.size("sa") * percent
     common = F.size(F.array_intersect("sa", "sb"))
     return out.where(near).where(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b")
 
 
+def _stars(members: DataFrame) -> DataFrame:
+    """(rep, hub, size) -> different pairs (a, b) of members and hubs, with `parts` for _verified."""
+    parts = F.ceil(F.col("size") / HUB_PAIRS).cast("int")
+    return members.where("rep <> hub").groupBy(F.col("rep").alias("a"), F.col("hub").alias("b")).agg(F.max(parts).alias("parts"))
+
+
+def _apart(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members (bucket, rep, size) of the buckets that still hold several groups, with their group `comp`."""
+    m = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    several = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "lo")
+    return shared_checkpoint(m.join(several, "bucket").select("bucket", "rep", "size", "comp", "lo"))
+
+
 def _common_sizes(sa: list[np.ndarray], sb: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of two lists of sets, as products of incidence matrices in slices of columns."""
     values, codes = np.unique(np.concatenate([*sa, *sb]), return_inverse=True)
@@ -251,36 +273,53 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
     docs = df.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("raw"))
     base = shared_checkpoint(signatures(docs, percent))
     some = base.where("n > 0 and id is not null")
-    reps = some.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "bands")).alias("x")).select("h1", "h2", "n", F.col("x.id").alias("rep"), F.col("x.bands").alias("bands"))
+    reps = some.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "bands")).alias("x"), F.count(F.lit(1)).alias("c")).select("h1", "h2", "n", "c", F.col("x.id").alias("rep"), F.col("x.bands").alias("bands"))
     rows = reps.select("rep", F.explode("bands").alias("bucket"))
     full = rows.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = shared_checkpoint(rows.join(full, "bucket"))
-    stars = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = _stars(members)
     ids = members.select(F.col("rep").alias("id"))
     sets = shared_checkpoint(full_sets(by_ids(docs, ids, "left_semi")))
     links = shared_checkpoint(_verified(stars, sets, percent))
     comps = components(links)
-    # what is still apart inside a bucket
-    m = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    apart = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    m = shared_checkpoint(m.join(apart, "bucket"))
+    m = _apart(members.select("bucket", "rep", "size"), comps)
+    tried = stars.select("a", "b")
+    for _ in range(ROUNDS):
+        hubs = m.where("comp <> lo").groupBy("bucket").agg(F.min(F.struct("rep", "comp")).alias("hub")).select("bucket", F.col("hub.rep").alias("hub"), F.col("hub.comp").alias("hub_comp"))
+        pairs = shared_checkpoint(_stars(m.join(hubs, "bucket").where("comp <> hub_comp")).join(tried, ["a", "b"], "left_anti"))
+        found = shared_checkpoint(_verified(pairs, sets, percent))
+        if found.isEmpty():
+            break
+        links, tried = links.union(found), tried.union(pairs.select("a", "b"))
+        comps = components(links)
+        m = _apart(m.select("bucket", "rep", "size"), comps)
     small = m.where(F.col("size") <= SMALL).select("bucket", "rep", "comp")
     pairs = small.join(small.select("bucket", F.col("rep").alias("b"), F.col("comp").alias("comp_b")), "bucket").where("rep > b and comp <> comp_b")
-    pairs = pairs.select(F.col("rep").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti")
+    pairs = pairs.select(F.col("rep").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti").withColumn("parts", F.lit(1))
     more = _verified(pairs, sets, percent).union(_large_links(m.where(F.col("size") > SMALL), sets, percent))
     final = components(links.union(more))
     # back to classes, then to rows
-    classes = reps.select("h1", "h2", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("comp", "rep").alias("component_id"))
-    named = some.join(classes, ["h1", "h2", "n"]).select("id", "n", "component_id").union(base.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id")))
+    classes = reps.select("h1", "h2", "n", "c", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", "c", F.coalesce("comp", "rep").alias("component_id"))
+    # large classes of equal sets are few, as each holds a share of all rows, so their rows need no shuffle to one key
+    same, rows_of_class = ["h1", "h2", "n"], max(1000, some.count() // LARGE_CLASSES)
+    large = classes.where(F.col("c") >= rows_of_class).select(*same, F.col("component_id").alias("large_id"))
+    some = some.join(F.broadcast(shared_checkpoint(large)), same, "left")
+    named = some.where("large_id is null").join(classes, same).select("id", "n", "component_id").union(some.where("large_id is not null").select("id", "n", "large_id")).union(base.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id")))
     return named.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def _large_links(m: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside large buckets, each pair of blocks in a task of its own."""
+    """Links inside large buckets, each pair of blocks in a task of its own; a bucket's largest group is not paired with itself."""
     kind = dict(m.dtypes)["rep"]
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
-    m = m.withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64("rep", "bucket"), n).cast("int"))
-    to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+    groups = m.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("n"))
+    blocks = lambda c: F.greatest(F.ceil(c / BLOCK), F.lit(1)).cast("int")
+    groups = groups.select("bucket", F.col("top.comp").alias("top"), blocks(F.col("top.count")).alias("top_blocks"), blocks(F.col("n") - F.col("top.count")).alias("rest_blocks"))
+    m = m.join(groups, "bucket").withColumn("in_top", F.col("comp") == F.col("top"))
+    # blocks 0 .. rest_blocks - 1 hold the rest, those from rest_blocks on the largest group
+    block = F.when(F.col("in_top"), F.col("rest_blocks") + F.pmod(F.xxhash64("rep", "bucket"), F.col("top_blocks"))).otherwise(F.pmod(F.xxhash64("rep", "bucket"), F.col("rest_blocks"))).cast("int")
+    others = F.when(F.col("in_top"), F.sequence(F.lit(0), F.col("rest_blocks") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest_blocks") + F.col("top_blocks") - 1))
+    m = m.withColumn("block", block)
+    to = F.transform(others, lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
     m = m.select("bucket", "rep", "comp", "block", F.explode(to).alias("to")).join(sets.select(F.col("id").alias("rep"), "sh"), "rep").select("bucket", "to.i", "to.j", "rep", "comp", "block", "sh")
 
     def run(t: pa.Table) -> pa.Table:

@@ -79,6 +79,10 @@ QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_url_filters, op3_toxicity
 _SAID = r"\### Assistant: </turn> ok"
 
 
+#: Levels of the tree that the SQL spells out; nothing branches below in the tables it is for.
+SQL_LEVELS = 8
+
+
 def _template_sql() -> str:
     """The template tree of url_filter, level by level."""
     from pomona.llm import url_filter as U
@@ -87,21 +91,20 @@ def _template_sql() -> str:
     rules = sorted(U.RULES, key=lambda r: (-len(r[1]), r[1]))
     case = lambda i: "case " + " ".join(f"when {fits(r[1])} then '{r[i]}'" for r in rules) + " end"
     out = [f"""with p as (select page_id, lower(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)) as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
-q as (select *, {case(1)} as rule, {case(0)} as given, [case when regexp_matches(s, '[0-9]') or length(s) > {U.LONG_SEGMENT} then '*' else s end for s in string_split(path, '/') if s <> ''] as parts from p),
-r as (select *, case when len(parts) > {U.DEPTH} then parts[1:{U.DEPTH}] || ['**'] else parts end as shape, cast(given = 'block' as int) as blocked from q),
-t0 as (select host, shape, shape as template, count(blocked) as l, coalesce(sum(blocked), 0) as b from r group by host, shape)"""]
-    for n in range(1, U.DEPTH + 1):
-        out.append(f"""w{n} as (select host, template[1:{n - 1}] as parent from t{n - 1} where len(template) >= {n} group by all having count(distinct template[{n}]) > {U.MAX_CHILDREN}),
-t{n} as (select t.host, shape, l, b, case when w.host is not null and len(template) >= {n} then template[1:{n - 1}] || ['*'] || template[{n + 1}:] else template end as template
-  from t{n - 1} t left join w{n} w on t.host = w.host and t.template[1:{n - 1}] = w.parent)""")
-    out.append(f"""leaves as (select host, template, coalesce(template[1], '') as section, template[2:] as rest, sum(l) as l, sum(b) as b from t{U.DEPTH} group by host, template),
-sections as (select host, section, cast(sum(l) as double) as l, cast(sum(b) as double) as b from leaves group by host, section),
-lagged as (select *, lag(l) over w as l0, lag(b) over w as b0 from sections where l > 0 window w as (partition by host order by b / l, section)),
-known as (select host, section, sum(case when abs(b / l - b0 / l0) > {U.Z} * greatest(sqrt((b + b0) / (l + l0) * (1 - (b + b0) / (l + l0)) * (1 / l + 1 / l0)), 1e-9) then 1 else 0 end) over (partition by host order by b / l, section) as branch from lagged),
-named as (select v.*, coalesce('#' || k.branch, v.section) as branch from leaves v left join known k on v.host = k.host and v.section = k.section),
-judged as (select host, template, (sum(l) over g - sum(b) over g + {U.WEIGHT * U.PRIOR}) / (sum(l) over g + {U.WEIGHT}) as purity from named window g as (partition by host, branch, rest))
-select page_id, r.host, path, rule, coalesce(given, case when purity < {U.THRESHOLD} then 'block' else 'allow' end) as verdict, '/' || array_to_string(t.template, '/') as template, cast(purity as double) as purity
-from r join t{U.DEPTH} t on r.host = t.host and r.shape = t.shape join judged j on j.host = t.host and j.template = t.template""")
+q as (select *, {case(1)} as rule, {case(0)} as given, [case when regexp_matches(s, '[0-9]') or length(s) > {U.LONG_SEGMENT} then '*' else s end for s in string_split(path, '/') if s <> ''] as shape from p),
+t0 as (select host, shape, [] :: varchar[] as template, '' as node, count(given) as l, count(case when given = 'block' then 1 end) as b from q group by host, shape)"""]
+    for n in range(1, SQL_LEVELS + 1):
+        out.append(f"""w{n} as (select host, node from t{n - 1} where len(shape) >= {n} group by all having count(distinct shape[{n}]) > {U.MAX_CHILDREN}),
+c{n} as (select t.*, case when len(shape) >= {n} then case when w.host is not null then '*' else shape[{n}] end end as child from t{n - 1} t left join w{n} w on t.host = w.host and t.node = w.node),
+k{n} as (select host, node, child, cast(sum(l) as double) as l, cast(sum(b) as double) as b from c{n} where child is not null group by all having sum(l) > 0),
+g{n} as (select *, lag(l) over w as l0, lag(b) over w as b0 from k{n} window w as (partition by host, node order by b / l, child)),
+m{n} as (select host, node, child, sum(case when abs(b / l - b0 / l0) > {U.Z} * greatest(sqrt((b + b0) / (l + l0) * (1 - (b + b0) / (l + l0)) * (1 / l + 1 / l0)), 1e-9) then 1 else 0 end) over (partition by host, node order by b / l, child) as branch from g{n}),
+t{n} as (select c.host, c.shape, case when c.child is null then template else template || [c.child] end as template, c.node || '/' || coalesce('#' || branch, '=' || c.child, '.') as node, c.l, c.b
+  from c{n} c left join m{n} m on c.host = m.host and c.node = m.node and c.child = m.child)""")
+    out.append(f"""judged as (select host, shape, template || shape[{SQL_LEVELS + 1}:] as template, (sum(l) over g - sum(b) over g + {U.WEIGHT * U.PRIOR}) / (sum(l) over g + {U.WEIGHT}) as purity
+  from t{SQL_LEVELS} window g as (partition by host, node, shape[{SQL_LEVELS + 1}:]))
+select page_id, q.host, path, rule, coalesce(given, case when purity < {U.THRESHOLD} then 'block' else 'allow' end) as verdict, '/' || array_to_string(template, '/') as template, cast(purity as double) as purity
+from q join judged j on j.host = q.host and j.shape = q.shape""")
     return ",\n".join(out)
 
 

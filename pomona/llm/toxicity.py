@@ -9,7 +9,7 @@ to the logistic loss on part of a bounded sample, and pooled adjacent violators
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pomona.llm.common import filled, fold_of, shared_checkpoint, text_slices, words
+from pomona.llm.common import carried, filled, fold_of, shared_checkpoint, text_slices, words
 
 #: Labelled documents that the classifier is fitted on at most (a fixed hash of the id decides).
 SAMPLE = 12_000
@@ -263,21 +263,22 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None) -> T
     return Toxicity(lexicon, trees)
 
 
-def score_toxicity(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fold: int = 5) -> DataFrame:
-    """Per document: key, held_out, score (0 to 1), predicted (score >= 0.5).
+def score_toxicity(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fold: int = 5, carry: Sequence[str] = ()) -> DataFrame:
+    """Per document: key, held_out, score (0 to 1), predicted (score >= 0.5), and the columns `carry` as they are.
 
     Labels are learnt from rows whose crc32(key as text) mod `fold` is not 0.
     Defined cases: null text is the empty text and is scored too; null keys and repeated rows are kept;
     without any labelled rows every score is 0; equal labels of an id count once, contradicting ones
     both, and of documents that share an id one is learnt from; an empty table gives an empty result; other columns are ignored.
     """
-    docs = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("raw"))
+    docs = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("raw"), *carried(carry))
     model = fit(docs, labels.select(F.col(key).alias("doc_id"), "toxic"), fold_of(F.col("doc_id"), fold) != 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "raw", 4 << 20):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(model.score(b.column("raw")))], names=["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(model.score(b.column("raw"))), *(b.column(c) for c in b.schema.names[3:])], names=["doc_id", "held_out", "score", *b.schema.names[3:]])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    out = docs.select("doc_id", (fold_of(F.col("doc_id"), fold) == 0).alias("held_out"), "raw").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).withColumnRenamed("doc_id", key)
+    more = docs.columns[2:]
+    fields = ", ".join(f"{c} {t}" for c, t in docs.dtypes if c in more)
+    out = docs.select("doc_id", (fold_of(F.col("doc_id"), fold) == 0).alias("held_out"), "raw", *more).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double" + (", " + fields if more else ""))
+    return out.select(F.col("doc_id").alias(key), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *(F.col(c).alias(name) for c, name in zip(more, carry)))

@@ -2,17 +2,19 @@ r"""URL filters by a path-template tree per host, in DataFrame functions.
 
 1. Every url is cut into host and path segments; urls that a rule covers are the labelled ones
    (allow or block).
-2. Per host, segments that vary by their shape (they hold a digit, or are long) become ``*``; then, level
-   by level from the root, a node with more than ``max_children`` different children has all of them
-   generalised into one ``*``.
-3. Labelled sibling branches whose blocked shares don't differ significantly (two-proportion z test)
-   are merged, in order of that share, into one branch with summed counts. A branch without labels
+2. Segments that vary by their shape (they hold a digit, or are long) become ``*``. Then each host's tree
+   is walked from the root, one branching node of every path at a time: a node with more than
+   ``max_children`` different children has all of them generalised into one ``*``;
+3. labelled children whose blocked shares don't differ significantly (two-proportion z test) are merged, in
+   order of that share, into one branch, whose children are pooled below. A branch without labels
    has no evidence of being like another and stays on its own.
-4. A template is rejected if its purity, the share of allowed labels smoothed towards ``prior`` with
-   weight ``weight``, is below ``threshold``. Unlabelled templates keep the prior and are allowed.
+4. A template is rejected if the purity of its merged leaf, the share of allowed labels smoothed towards
+   ``prior`` with weight ``weight``, is below ``threshold``. Unlabelled templates keep the prior and are allowed.
 
 Counts are summed per (host, generalised path) before anything is shuffled, so a hot host costs one
-row per template. Windows run over the children of one node, at most ``max_children`` + 1 rows.
+row per template. Runs of segments without a branch are passed in one step, so there are as many
+rounds as a path has branching nodes, whatever its length. Windows run over the children of one node,
+at most ``max_children`` rows.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pomona.llm.common import shared_checkpoint
 
 #: (verdict, host and path prefix)
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-DEPTH, MAX_CHILDREN, LONG_SEGMENT = 4, 24, 24
+MAX_CHILDREN, LONG_SEGMENT = 24, 24
 PRIOR, WEIGHT, THRESHOLD, Z = 0.8, 4.0, 0.5, 1.96
 #: Rules are inlined as one expression; they are configuration, not data.
 MOST_RULES = 500
@@ -55,48 +57,66 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
     return out
 
 
-def shape(path: Column, depth: int = DEPTH) -> Column:
-    """The path's segments with varying ones as ``*``; what lies deeper than `depth` becomes one ``**``."""
+def shape(path: Column) -> Column:
+    """The path's segments with varying ones as ``*``."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    plain = F.transform(parts, lambda s: F.when(s.rlike("[0-9]") | (F.length(s) > LONG_SEGMENT), F.lit("*")).otherwise(s))
-    return F.when(F.size(plain) > depth, F.concat(F.slice(plain, 1, depth), F.array(F.lit("**")))).otherwise(plain)
+    return F.transform(parts, lambda s: F.when(s.rlike("[0-9]") | (F.length(s) > LONG_SEGMENT), F.lit("*")).otherwise(s))
 
 
-def _prefix(level: int) -> Column:
-    return F.slice(F.col("template"), 1, level)
+def _common(a: Column, b: Column) -> Column:
+    """How many elements two arrays share from their beginnings."""
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
+    first = F.array_position(same, F.lit(False))
+    return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
 
 
-def template_tree(labelled: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHILDREN) -> DataFrame:
-    """(host, shape) -> template, purity, rejected. `labelled` has host, shape, blocked (1, 0 or null)."""
-    t = labelled.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count("blocked").alias("n_labelled"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("n_blocked")).withColumn("template", F.col("shape"))
-    t = shared_checkpoint(t)
-    for level in range(1, depth + 1):
-        node = [F.col("host"), _prefix(level - 1).alias("parent")]
-        deep = F.size("template") >= level
-        wide = t.where(deep).groupBy(*node).agg(F.countDistinct(F.element_at("template", level)).alias("children")).where(F.col("children") > max_children)
-        t = t.withColumn("parent", _prefix(level - 1)).join(wide, ["host", "parent"], "left")
-        general = F.concat(F.slice("template", 1, level - 1), F.array(F.lit("*")), F.slice("template", level + 1, depth + 1))
-        t = t.withColumn("template", F.when(F.col("children").isNotNull() & (F.size("template") >= level), general).otherwise(F.col("template"))).drop("parent", "children")
-    leaves = t.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n_labelled", "n_blocked")))
-    # Branches: the children of the host's root, the level at which a site's sections part.
-    leaves = leaves.withColumn("section", F.coalesce(F.try_element_at("template", F.lit(1)), F.lit("")))
-    sections = leaves.groupBy("host", "section").agg(*(F.sum(c).alias("s" + c) for c in ("n_labelled", "n_blocked")))
-    share = F.col("sn_blocked") / F.col("sn_labelled")
-    w = Window.partitionBy("host").orderBy("share", "section")
-    n0, b0 = F.lag("sn_labelled").over(w), F.lag("sn_blocked").over(w)
-    pooled = (F.col("sn_blocked") + b0) / (F.col("sn_labelled") + n0)
-    spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("sn_labelled") + 1 / n0))
+def _tail(c: str, start: Column) -> Column:
+    return F.slice(F.col(c), start, F.greatest(F.size(c) - start + 1, F.lit(0)))
+
+
+def _classes(kids: DataFrame) -> DataFrame:
+    """(host, node, child, l, b) -> class: the branch that a child belongs to."""
+    share = F.col("b") / F.col("l")
+    w = Window.partitionBy("host", "node").orderBy("share", "child")
+    n0, b0 = F.lag("l").over(w), F.lag("b").over(w)
+    pooled = (F.col("b") + b0) / (F.col("l") + n0)
+    spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("l") + 1 / n0))
     differs = F.abs(F.col("share") - b0 / n0) > Z * F.greatest(spread, F.lit(1e-9))
-    known = sections.where("sn_labelled > 0").withColumn("share", share).withColumn("new", F.coalesce(differs, F.lit(False)).cast("int"))
-    known = known.withColumn("branch", F.sum("new").over(w).cast("string")).select("host", "section", "branch")
-    leaves = leaves.join(known, ["host", "section"], "left").withColumn("rest", F.slice("template", 2, depth + 1))
-    # Templates of merged branches that agree below the branch share their counts.
-    branch = F.coalesce(F.concat(F.lit("#"), F.col("branch")), F.col("section"))
-    leaves = leaves.withColumn("branch", branch)
-    merged = leaves.groupBy("host", "branch", "rest").agg(*(F.sum(c).alias("m" + c) for c in ("n_labelled", "n_blocked")))
-    purity = (F.col("mn_labelled") - F.col("mn_blocked") + WEIGHT * PRIOR) / (F.col("mn_labelled") + WEIGHT)
-    judged = leaves.join(merged, ["host", "branch", "rest"]).select("host", "template", purity.alias("purity"))
-    return t.select("host", "shape", "template").join(judged, ["host", "template"]).withColumn("rejected", F.col("purity") < THRESHOLD)
+    known = kids.where("l > 0").withColumn("share", share).withColumn("new", F.coalesce(differs, F.lit(False)).cast("int"))
+    return known.withColumn("class", F.concat(F.lit("#"), F.sum("new").over(w).cast("string"))).select("host", "node", "child", "class")
+
+
+def template_tree(labelled: DataFrame, max_children: int = MAX_CHILDREN) -> DataFrame:
+    """(host, shape) -> template, purity, rejected. `labelled` has host, shape, blocked (1, 0 or null)."""
+    t = labelled.groupBy("host", "shape").agg(F.count("blocked").alias("l"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b"))
+    # rest: the segments below the node; template: those above, generalised; node: the merged branches above
+    t = shared_checkpoint(t.select("host", "shape", "l", "b", F.col("shape").alias("rest"), F.array().cast("array<string>").alias("template"), F.lit("").alias("node")))
+    columns, leaves = t.columns, []
+    while True:
+        group = ["host", "node"]
+        g = t.groupBy(*group).agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+        g = g.select(*group, _common(F.col("lo"), F.col("hi")).alias("k"), (F.col("lo") == F.col("hi")).alias("alone"))
+        # down the run of segments that all below the node share; rows that are alone or end there are leaves
+        run = F.slice("rest", F.lit(1), F.col("k"))
+        x = t.join(g, group).withColumn("template", F.concat("template", run)).withColumn("node", F.concat("node", F.lit("/"), F.array_join(run, "/"))).withColumn("rest", _tail("rest", F.col("k") + 1))
+        x = shared_checkpoint(x.withColumn("leaf", F.col("alone") | (F.size("rest") == 0)).select(*columns, "leaf"))
+        leaves.append(x.where("leaf").withColumn("node", F.concat("node", F.lit("/."))))
+        t = x.where("not leaf").withColumn("child", F.element_at("rest", 1))
+        if t.isEmpty():
+            break
+        wide = t.groupBy(*group, "child").agg(F.lit(1)).groupBy(*group).agg(F.count(F.lit(1)).alias("children")).where(F.col("children") > max_children)
+        t = t.join(wide, group, "left").withColumn("child", F.when(F.col("children").isNotNull(), F.lit("*")).otherwise(F.col("child")))
+        kids = t.groupBy(*group, "child").agg(F.sum("l").alias("l"), F.sum("b").alias("b"))
+        t = t.join(_classes(kids), [*group, "child"], "left")
+        t = t.withColumn("template", F.concat("template", F.array("child"))).withColumn("rest", _tail("rest", F.lit(2)))
+        t = t.withColumn("node", F.concat("node", F.lit("//"), F.coalesce("class", "child"))).select(*columns)
+    out = leaves[0]
+    for x in leaves[1:]:
+        out = out.union(x)
+    merged = out.groupBy("host", "node").agg(F.sum("l").alias("n_labelled"), F.sum("b").alias("n_blocked"))
+    purity = (F.col("n_labelled") - F.col("n_blocked") + WEIGHT * PRIOR) / (F.col("n_labelled") + WEIGHT)
+    judged = out.join(merged, ["host", "node"]).select("host", "shape", "template", purity.alias("purity"))
+    return judged.withColumn("rejected", F.col("purity") < THRESHOLD)
 
 
 def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
@@ -104,8 +124,7 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules:
 
     Defined cases: a null url, or one without ``://``, has empty host and path, no rule, and the
     template of the empty host; null keys and repeated rows are kept as they are; an empty table gives
-    an empty result; other columns are ignored; a path of any length is read whole (segments below the
-    tree's depth count as one ``**``).
+    an empty result; other columns are ignored; a path of any length is read whole, at any depth.
     """
     p = pages.select(F.col(key).alias("page_key"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     p = p.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("shape", shape(F.col("path")))

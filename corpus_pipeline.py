@@ -20,37 +20,68 @@ from pomona.llm.toxicity import score_toxicity
 LANGUAGE_SCORE = 0.5
 #: Two documents are near-duplicates from this percentage of common shingles on.
 NEAR_PERCENT = 80
-_KEEP = "__keep"
+_ROW, _KEEP = "pipeline_row", "pipeline_keep"
 
 
-def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The documents whose id has a decision to keep, with all their columns; rows with a null id stay.
+def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents and a column that tells their rows apart: doc_id, or where it is null or repeated a row number.
 
-    decisions: (doc_id, __keep). The ids of rejected documents are the smaller side and are joined away.
+    Row numbers are written to shared storage before anything uses them, so they stay the same if tasks run again.
     """
-    return by_ids(docs, decisions.where(~F.col(_KEEP) & F.col("doc_id").isNotNull()).select("doc_id"), "left_anti")
+    odd = docs.groupBy("doc_id").count().where("doc_id is null or count > 1")
+    if odd.isEmpty():
+        return docs, "doc_id"
+    return shared_checkpoint(docs.withColumn(_ROW, F.monotonically_increasing_id())), _ROW
+
+
+def _kept(docs: DataFrame, row: str, decisions: DataFrame) -> DataFrame:
+    """The rows that have a decision to keep, without the row number. decisions: (row, keep).
+
+    The rejected rows are the smaller side and are joined away.
+    """
+    return by_ids(docs, decisions.where(~F.col(_KEEP)).select(row), "left_anti").drop(_ROW)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity below one half."""
-    scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
-    return _kept(docs, scored.select("doc_id", (F.col("predicted") == 0).alias(_KEEP)))
+    """Documents with a toxicity below one half.
+
+    Each row is judged by its own text, whatever id it has or shares; a null text is the empty text and is
+    judged too; an empty table stays empty; other columns are kept as they are.
+    """
+    docs, row = _rows(docs)
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"), carry=(row,) if row == _ROW else ())
+    return _kept(docs, row, scored.select(row, (F.col("predicted") == 0).alias(_KEEP)))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is recognised."""
-    found = identify(docs)
-    return _kept(docs, found.select("doc_id", ((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SCORE)).alias(_KEEP)))
+    """Documents in a language that is recognised.
+
+    Each row is judged by its own text; a null text and one without letters has no language and goes; without
+    anything to learn from all go; an empty table stays empty; other columns are kept as they are.
+    """
+    docs, row = _rows(docs)
+    found = identify(docs, carry=(row,) if row == _ROW else ())
+    return _kept(docs, row, found.select(row, ((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SCORE)).alias(_KEEP)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    groups = near_groups(docs, percent=NEAR_PERCENT)
-    return _kept(docs, groups.select("doc_id", F.col("kept").alias(_KEEP)))
+    """One document of each group of near-duplicates: the one with the smallest id.
+
+    Where ids are null or repeated, every row is a document of its own and the first row of a group stays, so
+    of repeated rows one stays. Texts without words (null ones too) are nobody's duplicates and stay; an
+    empty table stays empty; other columns are kept as they are.
+    """
+    docs, row = _rows(docs)
+    groups = near_groups(docs, key=row, percent=NEAR_PERCENT)
+    return _kept(docs, row, groups.select(row, F.col("kept").alias(_KEEP)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences of at most 2048 tokens."""
+    """Pieces of the documents with their places in sequences of at most 2048 tokens.
+
+    A null text is the empty text, which is the end id alone; null ids and repeated rows are packed as documents of
+    their own; an empty table gives no pieces; other columns are ignored.
+    """
     return pack_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 

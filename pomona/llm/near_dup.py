@@ -6,7 +6,8 @@
 2. Texts with equal sets are one class (their similarity is 1); from here on only one representative
    per class takes part.
 3. Bands of some values each (see `banding`) are hashed into buckets. In a bucket every member is compared with the
-   smallest id alone (linear, whatever the bucket's size), on full sets. Verified links are merged.
+   smallest id, its hub, alone (linear, whatever the bucket's size), on full sets: first with one hub of all
+   its buckets, and after verified links are merged with the hubs that are still in other groups.
 4. Where a bucket's members still belong to several groups, rounds of further hubs follow: the smallest member of
    each bucket's second group is compared with all members outside its group. This goes on while it merges groups.
 5. What is still apart is finished exactly: small buckets by their pairs across groups, large ones in pairs of
@@ -36,7 +37,7 @@ VALUES, MISS = 256, 1e-4
 #: Buckets up to SMALL members are finished by pairs; larger ones in blocks of about BLOCK members.
 SMALL, BLOCK = 8, 256
 #: Pairs with one hub that meet its set in one task; rounds of further hubs at most (what they leave is finished exactly).
-HUB_PAIRS, ROUNDS = 512, 3
+HUB_PAIRS, ROUNDS = 512, 2
 #: A class of equal sets is large from this share of all rows on, so there are at most so many.
 LARGE_CLASSES = 10_000
 #: Elements whose permutations are held at once.
@@ -211,6 +212,13 @@ def _stars(members: DataFrame) -> DataFrame:
     return members.where("rep <> hub").groupBy(F.col("rep").alias("a"), F.col("hub").alias("b")).agg(F.max(parts).alias("parts"))
 
 
+def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different groups; a node without one is its own."""
+    end = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+    j = pairs.join(end("a"), "a", "left").join(end("b"), "b", "left")
+    return j.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select(*pairs.columns)
+
+
 def _apart(members: DataFrame, comps: DataFrame) -> DataFrame:
     """Members (bucket, rep, size) of the buckets that still hold several groups, with their group `comp`."""
     m = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -277,10 +285,14 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
     rows = reps.select("rep", F.explode("bands").alias("bucket"))
     full = rows.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = shared_checkpoint(rows.join(full, "bucket"))
-    stars = _stars(members)
+    stars = shared_checkpoint(_stars(members))
     ids = members.select(F.col("rep").alias("id"))
     sets = shared_checkpoint(full_sets(by_ids(docs, ids, "left_semi")))
-    links = shared_checkpoint(_verified(stars, sets, percent))
+    first = stars.groupBy("a").agg(F.min(F.struct("b", "parts")).alias("x")).select("a", "x.*")
+    links = shared_checkpoint(_verified(first, sets, percent))
+    comps = components(links)
+    rest = _between(stars.join(first.select("a", "b"), ["a", "b"], "left_anti"), comps)
+    links = links.union(shared_checkpoint(_verified(shared_checkpoint(rest), sets, percent)))
     comps = components(links)
     m = _apart(members.select("bucket", "rep", "size"), comps)
     tried = stars.select("a", "b")

@@ -143,3 +143,67 @@ def spread(counts: np.ndarray) -> np.ndarray:
     ends = np.cumsum(counts)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total, dtype=np.int64) - np.repeat(ends - counts, counts)
+
+
+def pack_blocks(docs: DataFrame, blocks: int) -> DataFrame:
+    """(raw, other columns) -> (block, data): texts dealt into blocks, as compressed binary rows.
+
+    A row's block follows from its columns and its partition's number, which parts repeated rows. So a
+    task that is run again deals them alike.
+    """
+    columns = docs.columns
+    docs = docs.withColumn("block", F.pmod(F.xxhash64(*columns, F.spark_partition_id()), F.lit(blocks)).cast("int"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for b in text_slices(batches, "raw", 12 << 20):
+            block = b.column("block").to_numpy()
+            rest = b.select(columns)
+            order = np.argsort(block, kind="stable")
+            found, data = [], []
+            for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+                sink = pa.BufferOutputStream()
+                some = rest.take(pa.array(part))
+                with pa.ipc.new_stream(sink, some.schema, options=options) as w:
+                    w.write_batch(some)
+                found.append(int(block[part[0]]))
+                data.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(data, pa.binary())], names=["block", "data"])
+
+    return docs.mapInArrow(run, "block int, data binary")
+
+
+def unpack_block(t: pa.Table) -> pa.Table:
+    """A block's texts in one order, whatever the order of the rows that hold them."""
+    parts = pa.concat_tables([pa.ipc.open_stream(d).read_all() for d in sorted(t.column("data").to_pylist())])
+    return parts.combine_chunks()
+
+
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    """Arrays one after another: unsigned ones as they are, signed ones as small numbers in a byte with the others behind."""
+    out = []
+    for a in arrays:
+        if a.dtype.kind == "u":
+            out += [np.array([len(a)], np.int64).tobytes(), a.tobytes()]
+        else:
+            big = a[a > 254]
+            out += [np.array([len(a), len(big)], np.int64).tobytes(), np.minimum(a, 255).astype(np.uint8).tobytes(), big.astype(np.int64).tobytes()]
+    return b"".join(out)
+
+
+def unpack_arrays(data: bytes, kinds: str) -> list[np.ndarray]:
+    """The arrays that `pack_arrays` wrote; kinds: 8, 4, 2 or 1 (bytes of an unsigned number) or s (small numbers)."""
+    out, at = [], 0
+    for k in kinds:
+        n = int(np.frombuffer(data, np.int64, 1, at)[0])
+        at += 8
+        if k != "s":
+            out.append(np.frombuffer(data, f"<u{k}", n, at))
+            at += n * int(k)
+            continue
+        m = int(np.frombuffer(data, np.int64, 1, at)[0])
+        a = np.frombuffer(data, np.uint8, n, at + 8).astype(np.int64)
+        a[a == 255] = np.frombuffer(data, np.int64, m, at + 8 + n)
+        at += 8 + n + 8 * m
+        out.append(a)
+    return out

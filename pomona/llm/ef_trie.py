@@ -1,9 +1,12 @@
-"""Elias-Fano sequences and the two-level n-gram trie that language-model scoring asks.
-
-Level 1 holds the contexts (sorted hashes) with their exact counts, and a monotone pointer for each to its
-first successor. Level 2 holds all contexts' successors as one monotone sequence (the context's
-number times the number of different successors, plus the successor's number) with quantised
-probabilities. Pointers and successors are Elias-Fano coded. All arrays of a trie lie in one memory map.
+"""Elias-Fano sequences and the n-gram trie that language-model scoring asks.
+
+Level 1 holds the contexts' last words (sorted hashes) with their exact counts. Below it stand three levels, each
+a sequence of symbols sorted inside their parents: the successors of a word, the words before it (with which it
+is a context of two words), and the successors of these longer contexts. A level keeps, Elias-Fano coded, a
+monotone pointer from each parent to its first symbol, and all symbols as one monotone sequence (the
+parent's number in front of the symbol), beside one byte for each symbol: the quantised discounted
+probability of a successor, or the quantised back-off weight of a context. A symbol is searched for between its
+parent's pointers. All arrays of a sequence lie in one memory map.
 """
 
 from __future__ import annotations
@@ -14,10 +17,21 @@ import numpy as np
 
 #: Quantised -log10 probabilities: STEP apart, NONE for what was never seen.
 STEP, NONE = 0.04, 255
-_BYTE = np.arange(256, dtype=np.uint8)
-_POP = np.unpackbits(_BYTE[:, None], axis=1).sum(1).astype(np.int64)
-#: _SELECT[b, k]: the place of byte b's k-th set bit, lowest first.
-_SELECT = np.array([[*(i for i in range(8) if b >> i & 1), *[0] * 8][:8] for b in range(256)], np.int64)
+#: _SELECT[b << 3 | k]: the place of byte b's k-th set bit, lowest first.
+_SELECT = np.array([[*(i for i in range(8) if b >> i & 1), *[0] * 8][:8] for b in range(256)], np.int64).reshape(-1)
+_L, _H = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_ODD, _PAIR, _NIBBLE = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
+
+
+def select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The place of each 64-bit word's k-th set bit, lowest first."""
+    s = word - (word >> np.uint64(1) & _ODD)
+    s = (s & _PAIR) + (s >> np.uint64(2) & _PAIR)
+    s = (s + (s >> np.uint64(4)) & _NIBBLE) * _L  # ones in each byte and those below it
+    k = k.astype(np.uint64)
+    byte = np.bitwise_count((k * _L | _H) - s & _H).astype(np.uint64) << np.uint64(3)  # bytes passed
+    k -= (s << np.uint64(8)) >> byte & np.uint64(255)
+    return byte.astype(np.int64) + _SELECT[((word >> byte & np.uint64(255)) << np.uint64(3) | k).astype(np.int64)]
 
 
 def mapped(*arrays: np.ndarray) -> list[np.ndarray]:
@@ -50,15 +64,19 @@ class EliasFano:
         high = (v >> np.uint64(self.l)).astype(np.int64)
         upper = _words(high + np.arange(n), n + (universe >> self.l) + 1)
         if self.l:
-            low = v & np.uint64((1 << self.l) - 1)
-            bits = (low[:, None] >> np.arange(self.l, dtype=np.uint64) & np.uint64(1)).astype(np.uint8).reshape(-1)
-            lower = np.packbits(np.r_[bits, np.zeros(-len(bits) % 64 + 64, np.uint8)], bitorder="little").view(np.uint64)
+            low, at = v & np.uint64((1 << self.l) - 1), np.arange(n) * self.l
+            w, o = at >> 6, (at & 63).astype(np.uint64)
+            lower = np.zeros(n * self.l // 64 + 2, np.uint64)
+            if n:  # no two values share a bit, so adding is setting
+                first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+                lower[w[first]] = np.add.reduceat(low << o, first)
+                over = np.flatnonzero(o + np.uint64(self.l) > 64)
+                lower[w[over] + 1] += low[over] >> (np.uint64(64) - o[over])
         else:
             lower = np.zeros(1, np.uint64)
         ones = np.bitwise_count(upper).astype(np.int64)
         before = np.cumsum(ones) - ones
-        self.upper, self.lower, self.before = mapped(upper, lower, before.astype(np.int64))
-        self.zeros = np.arange(len(upper), dtype=np.int64) * 64 - self.before
+        self.upper, self.lower, self.before, self.zeros = mapped(upper, lower, before, np.arange(len(upper), dtype=np.int64) * 64 - before)
 
     def low(self, i: np.ndarray) -> np.ndarray:
         if not self.l:
@@ -72,80 +90,100 @@ class EliasFano:
     def _select(self, k: np.ndarray, directory: np.ndarray, flip: bool) -> np.ndarray:
         """Place of the k-th one (zero if flip) of the upper bits."""
         w = np.searchsorted(directory, k, "right") - 1
-        rest, word = k - directory[w], self.upper[w]
-        if flip:
-            word = ~word
-        done, out = np.zeros(len(k), bool), np.zeros(len(k), np.int64)
-        for j in range(8):
-            byte = (word >> np.uint64(8 * j) & np.uint64(255)).astype(np.int64)
-            n = _POP[byte]
-            here = ~done & (rest < n)
-            out[here] = 8 * j + _SELECT[byte[here], rest[here]]
-            done |= here
-            rest = np.where(done, rest, rest - n)
-        return w * 64 + out
+        word = self.upper[w]
+        return w * 64 + select_in_word(~word if flip else word, k - directory[w])
 
     def access(self, i: np.ndarray) -> np.ndarray:
         high = self._select(i, self.before, False) - i
         return high.astype(np.uint64) << np.uint64(self.l) | self.low(i)
 
-    def next_geq(self, x: np.ndarray) -> np.ndarray:
-        """The place of the first value that is not below x."""
+    def next_geq(self, x: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The place of the first value that is not below x, and whether it is x; only [begin, end) is searched if given."""
         high = (x >> np.uint64(self.l)).astype(np.int64)
         low = x & np.uint64((1 << self.l) - 1) if self.l else np.zeros(len(x), np.uint64)
-        end = self._select(high, self.zeros, True) - high
-        begin = np.where(high > 0, self._select(np.maximum(high - 1, 0), self.zeros, True) + 1 - high, 0)
-        while (open_ := np.flatnonzero(begin < end)).size:
-            mid = (begin[open_] + end[open_]) >> 1
+        stop = self._select(high, self.zeros, True) - high
+        at = np.where(high > 0, self._select(np.maximum(high - 1, 0), self.zeros, True) + 1 - high, 0)
+        if begin is not None:
+            at, stop = np.maximum(at, begin), np.minimum(stop, end)
+        last = stop.copy()
+        open_ = np.flatnonzero(at < last)
+        while open_.size:
+            mid = (at[open_] + last[open_]) >> 1
             less = self.low(mid) < low[open_]
-            begin[open_[less]] = mid[less] + 1
-            end[open_[~less]] = mid[~less]
-        return begin
+            at[open_[less]] = mid[less] + 1
+            last[open_[~less]] = mid[~less]
+            open_ = open_[at[open_] < last[open_]]
+        hit = np.zeros(len(x), bool)
+        some = np.flatnonzero(at < stop)
+        hit[some] = self.low(at[some]) == low[some]
+        return at, hit
+
+
+def quantise(p: np.ndarray) -> np.ndarray:
+    return np.minimum(np.round(-np.log10(np.maximum(p, 1e-300)) / STEP), NONE - 1).astype(np.uint8)
+
+
+def restore(codes: np.ndarray) -> np.ndarray:
+    """Probabilities of quantised codes; 0 for NONE."""
+    return _RESTORED[codes]
+
+
+_RESTORED = np.r_[10.0 ** (-STEP * np.arange(NONE)), 0.0]
+
+
+class Level:
+    """Symbols (below 2**32) sorted inside their parents, with one code each."""
+
+    def __init__(self, parents: int, parent: np.ndarray, symbol: np.ndarray, codes: np.ndarray):
+        """(parent, symbol) pairs in order and without repeats."""
+        self.pointers = EliasFano(np.searchsorted(parent, np.arange(parents + 1)), len(parent) + 1)
+        self.keys = EliasFano(parent.astype(np.uint64) << np.uint64(32) | symbol.astype(np.uint64), max(1, parents) << 32)
+        (self.codes,) = mapped(codes)
+
+    def find(self, parent: np.ndarray, symbol: np.ndarray, repeat: np.ndarray | None = None) -> np.ndarray:
+        """The places of symbols below parents, -1 if there is none. `repeat`: symbols asked for each parent, one after another."""
+        known = parent >= 0
+        some = parent[known]
+        begin, end = np.zeros(len(parent), np.int64), np.zeros(len(parent), np.int64)
+        begin[known], end[known] = self.pointers.access(some), self.pointers.access(some + 1)
+        if repeat is not None:
+            parent, begin, end, known = (np.repeat(a, repeat) for a in (parent, begin, end, known))
+        out = np.full(len(parent), -1)
+        ask = np.flatnonzero(known)
+        if len(ask) and len(self.codes):
+            at, hit = self.keys.next_geq(parent[ask].astype(np.uint64) << np.uint64(32) | symbol[ask].astype(np.uint64), begin[ask], end[ask])
+            out[ask[hit]] = at[hit]
+        return out
+
+    def code(self, place: np.ndarray) -> np.ndarray:
+        """The codes at places; NONE where a place is -1."""
+        if not len(self.codes):
+            return np.full(len(place), NONE, np.uint8)
+        return np.where(place >= 0, self.codes[np.maximum(place, 0)], NONE).astype(np.uint8)
 
 
 class Trie:
-    """Contexts and successors with counts; `totals` are the contexts' counts, which may go beyond the rows given."""
-
-    def __init__(self, context: np.ndarray, successor: np.ndarray, count: np.ndarray, totals: dict[int, int] | None = None):
-        """Pairs sorted by (context, successor), without repeats and with counts above 0."""
-        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.zeros(0, np.int64)
-        self.contexts = context[first]
-        counts = np.add.reduceat(count, first) if len(first) else np.zeros(0, np.int64)
-        for h, c in (totals or {}).items():
-            i = np.searchsorted(self.contexts, np.uint64(h))
-            if i < len(self.contexts) and self.contexts[i] == np.uint64(h):
-                counts[i] = c
-        self.successors, number = np.unique(successor, return_inverse=True)
-        sizes = np.diff(np.r_[first, len(context)])
-        owner = np.repeat(np.arange(len(first)), sizes)
-        self.width = max(1, len(self.successors))
-        keys = owner.astype(np.uint64) * np.uint64(self.width) + number.astype(np.uint64)
-        p = count / np.maximum(counts[owner], 1) if len(count) else np.zeros(0)
-        quantised = np.minimum(np.round(-np.log10(np.maximum(p, 1e-300)) / STEP), NONE - 1).astype(np.uint8)
-        self.contexts, self.successors, self.counts, self.quantised = mapped(self.contexts, self.successors, counts.astype(np.int64), quantised)
-        self.pointers = EliasFano(np.r_[first, len(context)], len(context) + 1)
-        self.level = EliasFano(keys, max(1, len(first)) * self.width)
+    """The levels of one shard, from its sorted tables without repeats and with counts above 0.
+
+    pairs: (context number, successor, count); triples: (context number, word before, successor, count).
+    counts: each context's count, which may go beyond the rows given. k2, k3: the discounts, in counts: a context
+    of count c gives k / (c + k) of its probability to the shorter context.
+    """
+
+    def __init__(self, contexts: np.ndarray, counts: np.ndarray, pairs: tuple, triples: tuple, k2: float, k3: float):
+        self.contexts, self.counts = mapped(contexts, counts.astype(np.int64))
+        of, symbol, count = pairs
+        self.successors = Level(len(contexts), of, symbol, quantise(count / (counts[of] + k2)))
+        of, before, symbol, count = triples
+        first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (before[1:] != before[:-1])]) if len(of) else np.zeros(0, np.int64)
+        total = np.add.reduceat(count, first) if len(first) else np.zeros(0, np.int64)
+        self.longer = Level(len(contexts), of[first], before[first], quantise(k3 / (total + k3)))
+        node = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(of)]))
+        self.after = Level(len(first), node, symbol, quantise(count / (total[node] + k3)))
 
     def context(self, h: np.ndarray) -> np.ndarray:
-        """The number of each context, -1 if it was never seen."""
+        """The number of each context word, -1 if it was never seen."""
         if not len(self.contexts):
             return np.full(len(h), -1)
         i = np.minimum(np.searchsorted(self.contexts, h), len(self.contexts) - 1)
         return np.where(self.contexts[i] == h, i, -1)
-
-    def ask(self, number: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """Quantised probabilities of successors in contexts given by number; NONE if never seen."""
-        out = np.full(len(number), NONE, np.uint8)
-        if not len(self.successors):
-            return out
-        s = np.minimum(np.searchsorted(self.successors, successor), len(self.successors) - 1)
-        ok = np.flatnonzero((number >= 0) & (self.successors[s] == successor))
-        c = number[ok]
-        # successor search relative to the context: inside its pointers' range, past its base
-        begin, end = self.pointers.access(c).astype(np.int64), self.pointers.access(c + 1).astype(np.int64)
-        key = c.astype(np.uint64) * np.uint64(self.width) + s[ok].astype(np.uint64)
-        at = self.level.next_geq(key)
-        inside = (at >= begin) & (at < end)
-        inside[inside] = self.level.access(at[inside]) == key[inside]
-        out[ok[inside]] = self.quantised[at[inside]]
-        return out

@@ -1,17 +1,20 @@
-"""Language-model scores of texts under a bigram model of the corpus, kept in Elias-Fano tries.
+"""Language-model scores of texts under a trigram model of the corpus, kept in Elias-Fano tries.
 
-The model interpolates a word's relative frequency after the word before it with its add-one frequency in
-the corpus. The weights depend on how often the context was seen, and are the best of a grid by
-leave-one-out likelihood over all training texts.
+A word's probability after two words is its discounted frequency there plus what the discount leaves
+times its probability after one word, which is built likewise on its add-one frequency in the corpus:
+    p1(w) = (c(w) + 1) / (N + V + 1)
+    p2(w | v) = (c(v w) + K2 p1(w)) / (c(v) + K2)
+    p3(w | u v) = (c(u v w) + K3 p2(w | v)) / (c(u v) + K3)
+Tries hold the discounted probabilities and the back-off weights of contexts of two words, quantised to one byte.
 
-Nothing of the model is sent to the driver or broadcast, but for words so frequent that their number is
-bounded (each makes up 1/HOT of all tokens at least):
+Nothing of the model is sent to the driver, and nothing is broadcast but the hot words, whose number is bounded:
 1. Words are counted; this gives the totals and the hot words with exact counts.
-2. Texts are dealt into blocks of bounded size. A block sends its distinct word pairs, with their training
-   counts, to shards by context (hot contexts by the pair), as sorted binary runs.
+2. Texts are dealt into blocks of bounded size. A block sends its distinct trigrams, with their training
+   counts, to shards by their middle word, as sorted binary runs. A hot word's trigrams are dealt by it and the word
+   before, and its pairs by it and the word after.
 3. A shard sums the counts of all blocks, builds its trie, and answers each block's run in the run's order
-   with exact context counts and quantised probabilities.
-4. A block meets its answers, and scores its texts under every weight of the grid by context bucket.
+   with exact word counts, quantised probabilities and weights.
+4. A block meets its answers and scores its texts.
 """
 
 from __future__ import annotations
@@ -23,17 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pomona.llm.common import fold_of, hash_bytes, mix, shared_checkpoint, text_slices, words
-from pomona.llm.ef_trie import NONE, STEP, Trie
+from pomona.llm.common import fold_of, hash_bytes, mix, pack_arrays, pack_blocks, shared_checkpoint, text_slices, unpack_arrays, unpack_block, words
+from pomona.llm.ef_trie import Trie, restore
 
-#: Tokens in a block and in a shard; a context is hot from 1/HOT of all training tokens.
-BLOCK_TOKENS, SHARD_TOKENS, HOT = 1_200_000, 2_000_000, 4096
-#: Weights of the corpus frequency, and the number of context buckets (powers of 8 of the context's count).
-GRID = (1.0, 0.97, 0.85, 0.6, 0.35, 0.12)
-BUCKETS = 7
+#: Tokens in a block and in a shard.
+BLOCK_TOKENS, SHARD_TOKENS = 1_200_000, 2_000_000
+#: A word is hot if it makes up 1/HOT_PART of a shard, but no more than the HOT_WORDS most frequent ones can be.
+HOT_PART, HOT_WORDS = 8, 1 << 20
+#: The discounts: counts that a context gives to the shorter one.
+K2, K3 = 100.0, 4.0
 #: Hashes of the end and the start of a text; words' hashes are larger.
 END, START = 0, 1
-_48 = np.uint64((1 << 48) - 1)
+_32 = np.uint64(0xFFFFFFFF)
 
 
 def _hashes(distinct: pa.Array) -> np.ndarray:
@@ -42,166 +46,254 @@ def _hashes(distinct: pa.Array) -> np.ndarray:
 
 
 def _count(docs: DataFrame) -> DataFrame:
-    """word, c (training), n (all): one row for each different word, the start and the end."""
+    """word, c: training counts of different words, of the start and the end; n: all tokens, on the end's rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "raw", 12 << 20):
             offsets, ids, distinct = words(b.column("raw"))
             size = np.diff(offsets)
             train = ~b.column("held_out").to_numpy(zero_copy_only=False)
-            h = np.r_[_hashes(distinct), np.array([END, START], np.uint64)]
             c = np.bincount(ids, weights=np.repeat(train, size), minlength=len(distinct)).astype(np.int64)
-            n = np.bincount(ids, minlength=len(distinct))
-            ends = [int(train.sum())] * 2, [len(size)] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.r_[c, ends[0]]), pa.array(np.r_[n, ends[1]])], names=["word", "c", "n"])
+            some = np.flatnonzero(c)
+            h = np.r_[_hashes(distinct)[some], np.array([END, START], np.uint64)]
+            n = np.zeros(len(h), np.int64)
+            n[-2] = len(ids) + len(size)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.r_[c[some], [int(train.sum())] * 2]), pa.array(n)], names=["word", "c", "n"])
 
     return docs.select("raw", "held_out").mapInArrow(run, "word long, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
+#: A run's trigrams (middle words, their contexts; words before, their successors; successors, counts) and pairs of hot words.
+TRIGRAMS, PAIRS = "8s4s4s", "8s4s"
+
+
+def _starts(a: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
+
+
+def _distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    a = np.sort(a)
+    return a[_starts(a)]
+
+
+def _numbered(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and each value's place among them."""
+    order = np.argsort(a)
+    a = a[order]
+    new = np.r_[True, a[1:] != a[:-1]] if len(a) else np.zeros(0, bool)
+    place = np.empty(len(a), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return a[new], place
+
+
+def _lengths(starts: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.r_[starts, n])
+
+
+class Hot:
+    """Hot words' sorted hashes and counts."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.counts = words[order], counts[order]
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """The counts of hashes, -1 where a word is not hot."""
+        if not len(self.words):
+            return np.full(len(h), -1)
+        i = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        return np.where(self.words[i] == h, self.counts[i], -1)
+
+
 class Events:
-    """A block's texts as pairs (context, successor), and its run of distinct pairs in the order of the shards."""
+    """A block's texts as trigrams (u, v, w), one for each token w, and their distinct ones in the order of the shards.
+
+    Words are numbered by shard and hash, the hot ones last; so whatever the order of the texts, a block's
+    distinct trigrams stand in one order: by v, u and w for the trigrams, by v and w's symbol for the pairs.
+    """
 
-    def __init__(self, texts: pa.Array, train: np.ndarray, hot: np.ndarray, shards: int):
+    def __init__(self, texts: pa.Array, train: np.ndarray, hot: Hot, shards: int):
         offsets, ids, distinct = words(texts)
-        size = np.diff(offsets)
-        v = len(distinct)
-        self.hashes = np.r_[_hashes(distinct), np.array([END, START], np.uint64)]
+        size, v = np.diff(offsets), len(distinct)
+        h = np.r_[_hashes(distinct), np.array([END, START], np.uint64)]
+        hot_count = hot.of(h)
+        place = np.where(hot_count >= 0, shards, (mix(h) % np.uint64(shards)).astype(np.int64))
+        order = np.lexsort((h, place))
+        number = np.empty(v + 2, np.int64)
+        number[order] = np.arange(v + 2)
+        self.hashes, self.place, self.hot_count = h[order], place[order], hot_count[order]
+        self.cold = int((self.place < shards).sum())  # words before this one are not hot
+        self.symbols = (self.hashes & _32).astype(np.uint32)
         n = len(ids) + len(size)
         begin = offsets[:-1] + np.arange(len(size))
-        successor = np.full(n, v)
-        is_end = np.zeros(n, bool)
-        is_end[begin + size] = True
-        successor[~is_end] = ids
-        context = np.r_[v + 1, successor[:-1]]
-        context[begin] = v + 1
-        self.successor, self.owner = successor, np.repeat(np.arange(len(size)), size + 1)
-        pairs, self.pair_of = np.unique(context * (v + 2) + successor, return_inverse=True)
-        c, s = pairs // (v + 2), pairs % (v + 2)
-        count = np.bincount(self.pair_of, weights=train[self.owner], minlength=len(pairs)).astype(np.int64)
-        hc, hs = self.hashes[c], self.hashes[s]
-        self.is_hot = np.isin(self.hashes, hot)
-        self.is_hot[v:] = True
-        place = np.where(self.is_hot[c], mix(hc ^ mix(hs)), mix(hc)) % np.uint64(shards)
-        order = np.lexsort((hs & _48, hc, place))
-        self.rank = np.empty(len(order), np.int64)  # of each pair in the run
-        self.rank[order] = np.arange(len(order))
-        self.c, self.s, self.count, self.place = c[order], s[order], count[order], place[order].astype(np.int64)
+        w = np.full(n, number[v])
+        inner = np.ones(n, bool)
+        inner[begin + size] = False
+        w[inner] = number[ids]
+        self.end, start = int(number[v]), number[v + 1]
+        mid = np.r_[start, w[:-1]]
+        mid[begin] = start
+        u = np.r_[start, mid[:-1]]
+        u[begin] = start
+        self.w, self.owner = w, np.repeat(np.arange(len(size)), size + 1)
+        self.mid = mid
+        many, mine = v + 2, train[self.owner]
+        if many < 1 << 21:  # three words fit one number
+            triples, self.triple_of = _numbered((mid * many + u) * many + w)
+            self.contexts, of = triples // many, np.cumsum(np.r_[True, np.diff(triples // many) > 0]) - 1
+            self.contexts = self.contexts[_starts(self.contexts)]
+            self.context_of, triples = of[self.triple_of], of * many + triples % many
+        else:
+            self.contexts, self.context_of = _numbered(mid * many + u)
+            triples, self.triple_of = _numbered(self.context_of * many + w)
+        pairs, self.pair_of = _numbered(mid << 32 | self.symbols[w])
+        self.counts = np.bincount(self.triple_of, weights=mine, minlength=len(triples)).astype(np.int64)
+        self.pair_counts = np.bincount(self.pair_of, weights=mine, minlength=len(pairs)).astype(np.int64)
+        self.t_context, self.t_w = triples // many, triples % many
+        self.c_mid, self.c_u = self.contexts // many, self.contexts % many
+        self.p_mid, self.p_symbol = pairs >> 32, (pairs & 0xFFFFFFFF).astype(np.uint32)
+        # hot words' contexts and pairs get places of their own
+        self.c_place, self.p_place = self.place[self.c_mid], self.place[self.p_mid]
+        c, p = np.flatnonzero(self.c_mid >= self.cold), np.flatnonzero(self.p_mid >= self.cold)
+        mixed = lambda x, y: (mix(self.hashes[x] ^ mix(y)) % np.uint64(shards)).astype(np.int64)
+        self.c_place[c] = mixed(self.c_mid[c], self.hashes[self.c_u[c]])
+        self.p_place[p] = mixed(self.p_mid[p], self.p_symbol[p].astype(np.uint64))
+        self.t_place = self.c_place[self.t_context]
+        # cold trigrams and pairs are in the order of places already
+        self.hot_t = np.flatnonzero(self.c_mid[self.t_context] >= self.cold)
+        self.hot_t = self.hot_t[np.argsort(self.t_place[self.hot_t], kind="stable")]
+        self.hot_p = p[np.argsort(self.p_place[p], kind="stable")]
+        self.shards = shards
+
+    def sections(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each shard that is asked: its cold trigrams, hot trigrams, and hot pairs, as indices."""
+        cold_end = len(self.t_place) - len(self.hot_t)
+        at = np.arange(self.shards + 1)
+        cold = np.searchsorted(self.t_place[:cold_end], at)
+        hot = np.searchsorted(self.t_place[self.hot_t], at)
+        pairs = np.searchsorted(self.p_place[self.hot_p], at)
+        for s in np.flatnonzero((np.diff(cold) > 0) | (np.diff(hot) > 0) | (np.diff(pairs) > 0)).tolist():
+            yield s, np.arange(cold[s], cold[s + 1]), self.hot_t[hot[s] : hot[s + 1]], self.hot_p[pairs[s] : pairs[s + 1]]
+
+    def _trigrams(self, t: np.ndarray) -> bytes:
+        c = self.t_context[t]
+        first = _starts(c)
+        nodes = c[first]
+        mids = self.c_mid[nodes]
+        top = _starts(mids)
+        return pack_arrays(self.hashes[mids[top]], _lengths(top, len(nodes)), self.symbols[self.c_u[nodes]], _lengths(first, len(t)), self.symbols[self.t_w[t]], self.counts[t])
 
     def runs(self) -> Iterator[tuple[int, bytes]]:
-        cuts = np.r_[np.flatnonzero(np.r_[True, self.place[1:] != self.place[:-1]]), len(self.place)]
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            hc, hs, count = self.hashes[self.c[a:b]], self.hashes[self.s[a:b]] & _48, self.count[a:b]
-            first = np.flatnonzero(np.r_[True, hc[1:] != hc[:-1]])
-            big = count[count > 254]
-            head = np.array([len(first), b - a, len(big)], np.int64)
-            yield int(self.place[a]), b"".join(x.tobytes() for x in (head, hc[first], np.diff(np.r_[first, b - a]).astype(np.uint32), (hs & np.uint64(0xFFFFFFFF)).astype(np.uint32), (hs >> np.uint64(32)).astype(np.uint16), np.minimum(count, 255).astype(np.uint8), big))
-
-
-def _read_run(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts, their numbers of pairs, successors, training counts."""
-    n, m, big = np.frombuffer(data, np.int64, 3).tolist()
-    at, out = 24, []
-    for kind, k in ((np.uint64, n), (np.uint32, n), (np.uint32, m), (np.uint16, m), (np.uint8, m), (np.int64, big)):
-        out.append(np.frombuffer(data, kind, k, at))
-        at += k * np.dtype(kind).itemsize
-    count = out[4].astype(np.int64)
-    count[count == 255] = out[5]
-    return out[0], out[1].astype(np.int64), out[2].astype(np.uint64) | out[3].astype(np.uint64) << np.uint64(32), count
-
-
-def answer(runs: list[bytes], hot: dict[int, int]) -> list[bytes]:
-    """The shard's trie, asked with each run: context counts (64 bits), then quantised probabilities."""
-    read = [_read_run(r) for r in runs]
-    context = np.concatenate([np.repeat(c, k) for c, k, _, _ in read])
-    successor, count = np.concatenate([s for _, _, s, _ in read]), np.concatenate([n for _, _, _, n in read])
-    seen = count > 0
-    context, successor, count = context[seen], successor[seen], count[seen]
-    order = np.lexsort((successor, context))
-    context, successor, count = context[order], successor[order], count[order]
-    first = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (successor[1:] != successor[:-1])]) if len(context) else np.zeros(0, np.int64)
-    trie = Trie(context[first], successor[first], np.add.reduceat(count, first) if len(first) else count, hot)
+        for s, cold, hot, pairs in self.sections():
+            mids = self.p_mid[pairs]
+            top = _starts(mids)
+            parts = [self._trigrams(cold), self._trigrams(hot), pack_arrays(self.hashes[mids[top]], _lengths(top, len(pairs)), self.p_symbol[pairs], self.pair_counts[pairs])]
+            yield s, np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts)
+
+    def answered(self, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Training counts of words, back-off weights of contexts, discounted probabilities of trigrams and of pairs."""
+        counts, weights = np.maximum(self.hot_count, 0), np.ones(len(self.contexts))
+        q3, q2 = np.zeros(len(self.counts)), np.zeros(len(self.p_mid))
+        pair_at = np.searchsorted(self.p_mid, np.arange(len(self.hashes) + 1))
+        for s, cold, hot, pairs in self.sections():
+            n, w_cold, t_cold, p_cold, w_hot, t_hot, p_hot = unpack_arrays(answers[s], "4111111")
+            for t, w, q in ((cold, w_cold, t_cold), (hot, w_hot, t_hot)):
+                nodes = self.t_context[t][_starts(self.t_context[t])]
+                weights[nodes], q3[t] = restore(w), restore(q)
+                if t is cold and len(t):
+                    mids = self.c_mid[nodes][_starts(self.c_mid[nodes])]
+                    counts[mids] = n
+                    q2[pair_at[mids[0]] : pair_at[mids[-1] + 1]] = restore(p_cold)
+            q2[pairs] = restore(p_hot)
+        return counts, weights, q3, q2
+
+
+class _Asked:
+    """A run's trigrams or pairs, spelled out."""
+
+    def __init__(self, trigrams: bytes):
+        self.mids, per_mid, self.before, per_node, self.after, self.count = unpack_arrays(trigrams, TRIGRAMS)
+        self.per_node = per_node
+        self.node_mid = np.repeat(np.arange(len(self.mids)), per_mid)
+        self.node = np.repeat(np.arange(len(self.before)), per_node)
+        self.mid = self.node_mid[self.node]
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with their summed counts, without those of count 0."""
+    k, c = np.concatenate(keys), np.concatenate(counts)
+    some = c > 0
+    k, c = k[some], c[some]
+    order = np.argsort(k)
+    k, c = k[order], c[order]
+    first = _starts(k)
+    return k[first], (np.add.reduceat(c, first) if len(first) else c)
+
+
+def answer(runs: list[bytes], hot: Hot, k2: float = K2, k3: float = K3) -> list[bytes]:
+    """The shard's trie, asked with each run."""
+    read = []
+    for r in runs:
+        a, b, c = np.frombuffer(r, np.int64, 3).tolist()
+        r = r[24:]
+        read.append((_Asked(r[:a]), _Asked(r[a : a + b]), unpack_arrays(r[a + b :], PAIRS)))
+    contexts = _distinct(np.concatenate([h for cold, warm, pairs in read for h in (cold.mids, warm.mids, pairs[0])]))
+    number = lambda h: np.searchsorted(contexts, h)
+    pair_keys, pair_counts, keys, key_counts = [], [], [], []
+    for cold, warm, (mids, per, symbols, count) in read:
+        pair_keys += [number(cold.mids)[cold.mid].astype(np.uint64) << np.uint64(32) | cold.after, np.repeat(number(mids), per).astype(np.uint64) << np.uint64(32) | symbols]
+        pair_counts += [cold.count, count]
+        for t in (cold, warm):
+            keys.append(number(t.mids)[t.node_mid].astype(np.uint64) << np.uint64(32) | t.before)
+            key_counts.append(t)
+    pairs = _summed(pair_keys, pair_counts)
+    nodes = _distinct(np.concatenate(keys))
+    triples = _summed([np.searchsorted(nodes, k)[t.node].astype(np.uint64) << np.uint64(32) | t.after for k, t in zip(keys, key_counts)], [t.count for t in key_counts])
+    split = lambda k: ((k >> np.uint64(32)).astype(np.int64), (k & _32).astype(np.uint32))
+    of, symbol = split(pairs[0])
+    counts = hot.of(contexts)
+    counts = np.where(counts >= 0, counts, np.bincount(of, weights=pairs[1], minlength=len(contexts)).astype(np.int64))
+    node, after = split(triples[0])
+    mid, before = split(nodes[node])
+    trie = Trie(contexts, counts, (of, symbol, pairs[1]), (mid, before, after, triples[1]), k2, k3)
     out = []
-    for c, k, s, _ in read:
-        number = trie.context(c)
-        counts = np.where(number >= 0, trie.counts[number] if len(trie.counts) else 0, 0)
-        out.append(counts.astype(np.int64).tobytes() + trie.ask(np.repeat(number, k), s).tobytes())
+    for cold, warm, (mids, per, symbols, _) in read:
+        parts = []
+        for t in (cold, warm):
+            mid = trie.context(t.mids)
+            place = trie.longer.find(mid, t.before, np.bincount(t.node_mid, minlength=len(t.mids)))
+            weight = np.where(place >= 0, trie.longer.code(place), 0).astype(np.uint8)  # an unseen context leaves all to the shorter one
+            parts += [weight, trie.after.code(trie.after.find(place, t.after, t.per_node))]
+            if t is cold:
+                asked = _distinct(t.mid << 32 | t.after.astype(np.int64))
+                of = asked >> 32
+                parts += [trie.successors.code(trie.successors.find(mid, asked & 0xFFFFFFFF, np.bincount(of, minlength=len(t.mids))))]
+        parts.append(trie.successors.code(trie.successors.find(trie.context(mids), symbols, per)))
+        out.append(pack_arrays(trie.counts[trie.context(cold.mids)].astype(np.uint32), *parts))
     return out
 
 
-def bucket_of(count: np.ndarray) -> np.ndarray:
-    """0 for contexts never seen, then one bucket for each power of 8."""
-    return np.where(count > 0, 1 + np.minimum(np.log2(np.maximum(count, 1)) / 3, BUCKETS - 2).astype(np.int64), 0)
-
-
-def score_block(events: Events, train: np.ndarray, answers: dict[int, bytes], hot: dict[int, int], tokens: int, distinct: int):
-    """n_tokens, n_known, base score, scores by bucket and weight for each text; leave-one-out sums for the block."""
-    codes, counts = np.full(len(events.place), NONE, np.uint8), np.zeros(len(events.hashes), np.int64)
-    cuts = np.r_[np.flatnonzero(np.r_[True, events.place[1:] != events.place[:-1]]), len(events.place)]
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        data = answers[int(events.place[a])]
-        c = events.c[a:b]
-        first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-        counts[c[first]] = np.frombuffer(data, np.int64, len(first))
-        codes[a:b] = np.frombuffer(data, np.uint8, b - a, 8 * len(first))
-    for i in np.flatnonzero(events.is_hot):
-        counts[i] = hot.get(int(events.hashes[i]), 0)
-    # after START comes the text's first word; its count is that of the training texts, as is END's
-    docs = len(train)
-    total = tokens + distinct + 1
-    unigram = (counts + 1) / total
+def score_block(events: Events, docs: int, answers: dict[int, bytes], ends: int, tokens: int, distinct: int, k2: float = K2):
+    """n_tokens, n_known, base score, score for each text."""
+    counts, weights, q3, q2 = events.answered(answers)
+    counts[events.end] = ends
+    p1 = (counts + 1) / (tokens + distinct + 1)
+    back = k2 / (counts + k2)
+    w, owner = events.w, events.owner
+    p = q2[events.pair_of] + back[events.mid] * p1[w]
+    p = q3[events.triple_of] + weights[events.context_of] * p
+    total = lambda x: np.bincount(owner, weights=x, minlength=docs)
     known = counts > 0
-    n_tokens = np.bincount(events.owner, minlength=docs)
-    n_known = np.bincount(events.owner, weights=known[events.successor], minlength=docs).astype(np.int64)
-    base = np.bincount(events.owner, weights=np.log10(unigram)[events.successor], minlength=docs)
-    ch, pu = counts[events.c], unigram[events.s]
-    p = np.where(codes == NONE, 0.0, 10.0 ** (-STEP * codes.astype(float)))
-    n = np.round(p * ch)
-    p_out = np.where(ch > 1, np.maximum(n - 1, 0) / np.maximum(ch - 1, 1), 0.0)
-    pu_out = np.maximum(counts[events.s], 1) / (total - 1)
-    bucket = bucket_of(ch)
-    cell = events.owner * BUCKETS + bucket[events.rank[events.pair_of]]
-    parts, loo = np.zeros((docs, BUCKETS, len(GRID))), np.zeros((BUCKETS, len(GRID)))
-    for g, w in enumerate(GRID):
-        log = np.log10(np.where(ch > 0, (1 - w) * p + w * pu, pu))
-        parts[:, :, g] = np.bincount(cell, weights=log[events.rank[events.pair_of]], minlength=docs * BUCKETS).reshape(docs, BUCKETS)
-        out = np.log10((1 - w) * p_out + w * pu_out)
-        loo[:, g] = np.bincount(bucket, weights=out * events.count, minlength=BUCKETS)
-    return n_tokens, n_known, base, parts, loo
-
-
-def _pack(docs: DataFrame) -> DataFrame:
-    """Texts of each block as compressed binary rows (block, data)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for b in text_slices(batches, "raw", 12 << 20):
-            block = b.column("block").to_numpy()
-            rest = b.select(["doc_key", "held_out", "raw"])
-            order = np.argsort(block, kind="stable")
-            found, data = [], []
-            for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-                sink = pa.BufferOutputStream()
-                some = rest.take(pa.array(part))
-                with pa.ipc.new_stream(sink, some.schema, options=options) as w:
-                    w.write_batch(some)
-                found.append(int(block[part[0]]))
-                data.append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(data, pa.binary())], names=["block", "data"])
-
-    return docs.mapInArrow(run, "block int, data binary")
-
-
-def _unpack(t: pa.Table) -> pa.Table:
-    """A block's texts in an order of their own, whatever the order of the rows that hold them."""
-    parts = pa.concat_tables([pa.ipc.open_stream(d).read_all() for d in t.column("data").to_pylist()])
-    return parts.combine_chunks()
+    return np.bincount(owner, minlength=docs), total(known[w]).astype(np.int64), total(np.log10(p1)[w]), total(np.log10(p))
 
 
 def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", fold: int = 7, held: int = 2) -> DataFrame:
     """Per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from rows whose crc32(key as text) mod `fold` is not `held`. Words are hashed to 64 bits,
-    and to 48 inside a context.
+    and to 32 inside a context.
     Defined cases: null text is the empty text, which is its end alone; null keys and repeated rows are
     kept and counted; an unseen word has the add-one frequency of count 0; without training rows every
     score is 0; texts of any length are scored whole; an empty table gives an empty result; other
@@ -211,43 +303,35 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", fold: in
     kind = dict(docs.dtypes)["doc_key"]
     counted = shared_checkpoint(_count(docs))
     word = F.col("word") != START
-    sums = counted.agg(F.sum(F.when(word, F.col("c"))).alias("c"), F.sum(F.when(word, F.col("n"))).alias("n"), F.count(F.when(word & (F.col("c") > 0), 1)).alias("v")).first()
-    tokens, everything, distinct = sums["c"] or 0, sums["n"] or 0, sums["v"]
-    rows = counted.where((F.col("c") >= max(1, tokens // HOT)) | F.col("word").isin(END, START)).where("c > 0").orderBy(F.desc("c")).limit(2 * HOT + 2).collect()  # at most HOT + 2 words can be so frequent
-    hot = {int(np.int64(r["word"]).astype(np.uint64)): int(r["c"]) for r in rows}
-    hot_words = np.array(sorted(hot), np.uint64)
+    sums = counted.agg(F.sum(F.when(word, F.col("c"))).alias("c"), F.sum("n").alias("n"), F.count(F.when(word & (F.col("c") > 0), 1)).alias("v"), F.sum(F.when(F.col("word") == END, F.col("c"))).alias("ends")).first()
+    tokens, everything, distinct, ends = sums["c"] or 0, sums["n"] or 0, sums["v"], sums["ends"] or 0
+    # at most HOT_WORDS words, and the start, can have so large a part of all tokens
+    heat = max(1, SHARD_TOKENS // HOT_PART, -(-tokens // HOT_WORDS))
+    rows = counted.where((F.col("c") >= heat) & (F.col("word") != END)).select("word", "c").toArrow()
+    hot = Hot(rows.column("word").to_numpy().view(np.uint64), rows.column("c").to_numpy())
+    sent = df.sparkSession.sparkContext.broadcast(hot)
     blocks, shards = max(1, -(-everything // BLOCK_TOKENS)), max(1, -(-everything // SHARD_TOKENS))
-    packed = _pack(docs.withColumn("block", F.pmod(F.xxhash64("doc_key", "raw"), F.lit(blocks)).cast("int")))
+    packed = pack_blocks(docs, blocks)
+
+    def events(t: pa.Table) -> tuple[Events, pa.Table]:
+        texts = unpack_block(t)
+        return Events(texts.column("raw").chunk(0), ~texts.column("held_out").to_numpy(), sent.value, shards), texts
 
     def request(t: pa.Table) -> pa.Table:
-        block = t.column("block")[0].as_py()
-        texts = _unpack(t)
-        runs = list(Events(texts.column("raw").chunk(0), ~texts.column("held_out").to_numpy(), hot_words, shards).runs())
-        return pa.table({"shard": pa.array([s for s, _ in runs], pa.int32()), "block": pa.array([block] * len(runs), pa.int32()), "run": pa.array([r for _, r in runs], pa.binary())})
+        runs = list(events(t)[0].runs())
+        return pa.table({"shard": pa.array([s for s, _ in runs], pa.int32()), "block": pa.array([t.column("block")[0].as_py()] * len(runs), pa.int32()), "run": pa.array([r for _, r in runs], pa.binary())})
 
     def reply(t: pa.Table) -> pa.Table:
-        return pa.table({"block": t.column("block"), "shard": t.column("shard"), "answer": pa.array(answer(t.column("run").to_pylist(), hot), pa.binary())})
-
-    width = BUCKETS * len(GRID)
+        return pa.table({"block": t.column("block"), "shard": t.column("shard"), "answer": pa.array(answer(t.column("run").to_pylist(), sent.value), pa.binary())})
 
     def score(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = _unpack(left)
-        train = ~texts.column("held_out").to_numpy()
-        events = Events(texts.column("raw").chunk(0), train, hot_words, shards)
-        n, known, base, parts, loo = score_block(events, train, dict(zip(right.column("shard").to_pylist(), right.column("answer").to_pylist())), hot, tokens, distinct)
-        offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * width)
-        sums = pa.array([loo.reshape(-1).tolist(), *[None] * (len(n) - 1)], pa.list_(pa.float64()))
-        return pa.table({"doc_key": texts.column("doc_key"), "held_out": texts.column("held_out"), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(known), "base_score": pa.array(base), "parts": pa.ListArray.from_arrays(offsets, pa.array(parts.reshape(-1))), "loo": sums})
+        block, texts = events(left)
+        n, known, base, own = score_block(block, texts.num_rows, dict(zip(right.column("shard").to_pylist(), right.column("answer").to_pylist())), ends, tokens, distinct)
+        if not tokens:
+            own = base
+        return pa.table({"doc_key": texts.column("doc_key"), "held_out": texts.column("held_out"), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(own)})
 
     asked = packed.groupBy("block").applyInArrow(request, "shard int, block int, run binary")
     answers = asked.groupBy("shard").applyInArrow(reply, "block int, shard int, answer binary")
-    scored = packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"doc_key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, parts array<double>, loo array<double>")
-    scored = shared_checkpoint(scored)
-    best = scored.where("loo is not null").agg(*(F.sum(F.col("loo")[i]).alias(f"x{i}") for i in range(width))).first()
-    total = np.array([x or 0.0 for x in best], float).reshape(BUCKETS, len(GRID))
-    chosen = total.argmax(1)
-    terms = [F.col("parts")[b * len(GRID) + int(g)] for b, g in enumerate(chosen)]
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return scored.select(F.col("doc_key").alias(key), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", out.alias("score"))
+    scored = packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"doc_key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(F.col("doc_key").alias(key), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -43,29 +43,29 @@ def sample_texts(n=120, seed=1):
 
 
 def test_elias_fano():
-    from pomona.llm.ef_trie import NONE, STEP, EliasFano, Trie
+    from pomona.llm.ef_trie import STEP, EliasFano, Level, Trie, quantise, restore
 
     rng = np.random.default_rng(1)
-    for n, u in ((1, 1), (5, 40), (1000, 1000), (2000, 10**9), (300, 7)):
+    for n, u in ((1, 1), (5, 40), (1000, 1000), (2000, 10**9), (300, 7), (700, 1 << 50)):
         v = np.sort(rng.integers(0, u, n)).astype(np.uint64)
         e = EliasFano(v, u)
         assert (e.access(np.arange(n)) == v).all()
-        x = rng.integers(0, u, 500).astype(np.uint64)
-        assert (e.next_geq(x) == np.searchsorted(v, x)).all()
-    pairs = Counter(zip(rng.integers(2, 30, 4000).tolist(), (rng.zipf(1.5, 4000) % 90).tolist()))
-    keys = sorted(pairs)
-    c, s, k = (np.array(x, t) for x, t in zip((*zip(*keys), [pairs[x] for x in keys]), (np.uint64, np.uint64, np.int64)))
-    trie, totals = Trie(c, s, k), Counter()
-    for (a, _), n in pairs.items():
-        totals[a] += n
-    for a in range(35):
-        for b in range(95):
-            number = trie.context(np.array([a], np.uint64))
-            got = trie.ask(number, np.array([b], np.uint64))[0]
-            if (a, b) in pairs:
-                assert abs(-STEP * got - math.log10(pairs[a, b] / totals[a])) <= STEP / 2 + 1e-9 and trie.counts[number[0]] == totals[a]
-            else:
-                assert got == NONE
+        x = np.r_[rng.integers(0, u, 500).astype(np.uint64), v]
+        at, hit = e.next_geq(x)
+        assert (at == np.searchsorted(v, x)).all() and (hit == np.isin(x, v)).all()
+    p = rng.random(1000) ** 9 + 1e-9
+    assert np.abs(np.log10(restore(quantise(p))) - np.log10(p)).max() <= STEP / 2 + 1e-9
+    pairs = sorted(set(zip(rng.integers(0, 30, 900).tolist(), rng.integers(0, 2**32, 900).tolist())))
+    of, symbol = (np.array(x) for x in zip(*pairs))
+    level = Level(40, of, symbol.astype(np.uint32), np.arange(len(of)).astype(np.uint8))
+    assert (level.find(of, symbol) == np.arange(len(of))).all()
+    assert (level.find((of + 1) % 30, symbol) == -1).all() and (level.find(np.array([-1, 35]), symbol[:2]) == -1).all()
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    assert (level.find(of[first], symbol, np.diff(np.r_[first, len(of)])) == np.arange(len(of))).all()
+    none = np.zeros(0, np.int64)
+    trie = Trie(np.array([5, 9], np.uint64), np.array([0, 0]), (none, none, none), (none, none, none, none), 1.0, 1.0)
+    assert trie.context(np.array([9, 7], np.uint64)).tolist() == [1, -1]
+    assert (trie.successors.code(trie.successors.find(np.array([0, 1]), np.array([3, 4]))) == 255).all()
 
 
 def test_lm_scores(spark, monkeypatch):
@@ -85,44 +85,42 @@ def test_lm_scores(spark, monkeypatch):
     # many blocks, shards and hot words give the same
     monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 2000)
     monkeypatch.setattr(lm_score, "SHARD_TOKENS", 900)
-    monkeypatch.setattr(lm_score, "HOT", 60)
+    monkeypatch.setattr(lm_score, "HOT_PART", 30)
     again = sorted(lm_score.score_texts(df).collect(), key=lambda r: (r.doc_id is None, r.doc_id))
     assert [r.score for r in again] == pytest.approx([r.score for r in got], abs=1e-6)
     assert lm_score.score_texts(empty(spark)).count() == 0
 
 
-def test_lm_is_brute_force_bigram(spark):
+@pytest.mark.parametrize("shard_tokens", [2_000_000, 300])
+def test_lm_is_brute_force_trigram(spark, monkeypatch, shard_tokens):
+    """Scores are those of the model's formula with fixed discounts and the tries' rounding, in one shard or many."""
     from pomona.llm import lm_score
+    from pomona.llm.ef_trie import quantise, restore
 
-    texts = sample_texts(60)
-    df = docs(spark, texts)
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", shard_tokens)
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 1000 if shard_tokens == 300 else 10**6)
+    df = docs(spark, sample_texts(60) + ODD)
     rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in df.collect()]
-    uni, big, ctx = Counter(), Counter(), Counter()
+    uni, one, two, big, tri = Counter(), Counter(), Counter(), Counter(), Counter()
     for i, t in rows:
         if crc(i, 7) != 2:
-            for a, b in zip(["<s>", *t], [*t, None]):
-                uni[b] += 1
-                big[a, b] += 1
-                ctx[a] += 1
+            t = ["<s>", "<s>", *t, None]
+            for a, b, c in zip(t, t[1:], t[2:]):
+                uni[c] += 1
+                one[b] += 1
+                two[a, b] += 1
+                big[b, c] += 1
+                tri[a, b, c] += 1
     total = sum(uni.values()) + len(uni) + 1
+    rounded = lambda p: float(restore(quantise(np.array([p])))[0]) if p else 0.0
     got = {r.doc_id: r.score for r in lm_score.score_texts(df).collect()}
-    choices = set()
-    for i, t in rows[:20]:
-        pairs = list(zip(["<s>", *t], [*t, None]))
-        cells = {}
-        for a, b in pairs:
-            k = int(lm_score.bucket_of(np.array([ctx[a]]))[0])
-            for g, w in enumerate(lm_score.GRID):
-                p = (1 - w) * big[a, b] / ctx[a] + w * (uni[b] + 1) / total if ctx[a] else (uni[b] + 1) / total
-                cells[k, g] = cells.get((k, g), 0) + math.log10(p)
-        used = sorted({k for k, _ in cells})
-        near = []
-        for pick in np.ndindex(*[len(lm_score.GRID)] * len(used)):
-            near.append((abs(sum(cells[k, g] for k, g in zip(used, pick)) - got[i]), pick))
-        error, pick = min(near)
-        assert error <= 0.02 * len(pairs) + 1e-6  # quantisation: half a step for each token
-        choices.add(len(pick))
-    assert choices
+    for i, t in rows:
+        t, score = ["<s>", "<s>", *t, None], 0.0
+        for a, b, c in zip(t, t[1:], t[2:]):
+            p = rounded(big[b, c] / (one[b] + lm_score.K2)) + lm_score.K2 / (one[b] + lm_score.K2) * (uni[c] + 1) / total
+            p = rounded(tri[a, b, c] / (two[a, b] + lm_score.K3)) + rounded(lm_score.K3 / (two[a, b] + lm_score.K3)) * p
+            score += math.log10(p)
+        assert got[i] == pytest.approx(score, abs=1e-6)
 
 
 # --- url filters

@@ -6,6 +6,7 @@ the unit of parallel work is one stream.
 
 from __future__ import annotations
 
+import binascii
 import bz2
 import heapq
 import zlib
@@ -17,21 +18,9 @@ BLOCK = 4096
 # --- checksums
 
 
-def _crc_row(i: int) -> int:
-    c = i << 8
-    for _ in range(8):
-        c = (c << 1) ^ (0x1021 if c & 0x8000 else 0)
-    return c & 0xFFFF
-
-
-CRC_TABLE = [_crc_row(i) for i in range(256)]
-
-
 def crc16(data: bytes, seed: int = 0) -> int:
     """CRC of polynomial 0x1021, high bit first; threads are seeded with 0xFFFF, packed blocks with 0."""
-    for b in data:
-        seed = (seed << 8 & 0xFFFF) ^ CRC_TABLE[seed >> 8 ^ b]
-    return seed
+    return binascii.crc_hqx(data, seed)
 
 
 def rotating_sum(data: bytes) -> int:
@@ -104,17 +93,24 @@ def unpack_bits(data: bytes, size: int | None = None) -> bytes:
     return bytes(out if size is None else out[:size])
 
 
-def unpack_bytes(data: bytes, size: int | None = None) -> bytes:
-    """Two bits of kind (plain, one byte repeated, four bytes repeated, one byte repeated four times as often), six bits of count - 1."""
+def unpack_bytes(data: bytes, size: int | None = None, exact: bool = True) -> bytes:
+    """Two bits of kind (plain, one byte repeated, four bytes repeated, one byte repeated four times as often), six bits of count - 1.
+
+    size: bytes to unpack; unless `exact`, fewer are fine, more are cut off, and so is a group without its end.
+    """
     out, i = bytearray(), 0
     while i < len(data) and (size is None or len(out) < size):
         kind, n = data[i] >> 6, (data[i] & 0x3F) + 1
         take = (n, 1, 4, 1)[kind]
         part = data[i + 1 : i + 1 + take]
         if len(part) < take:
+            if not exact:
+                break
             raise ValueError("the packed data ends inside a group")
         out += part * (1, n, n, 4 * n)[kind]
         i += 1 + take
+    if not exact:
+        return bytes(out[:size])
     if size is not None and len(out) != size:
         raise ValueError(f"{len(out)} bytes instead of {size}")
     return bytes(out)
@@ -340,12 +336,13 @@ class _Strings:
 
 def _unlzw_block(data: bytes, size: int, table: _Strings) -> tuple[bytes, int]:
     """The block's bytes, and how many bytes of data it took."""
-    out, at, bits = bytearray(), 0, int.from_bytes(data, "little")
+    out, at = bytearray(), 0
+    padded = bytes(data) + bytes(3)
     while len(out) < size:
         width = _width(table.entry)
         if at + width > 8 * len(data):
             raise ValueError("the packed block ends early")
-        code = bits >> at & (1 << width) - 1
+        code = int.from_bytes(padded[at >> 3 : (at >> 3) + 3], "little") >> (at & 7) & (1 << width) - 1
         at += width
         if code == _CLEAR:
             table.clear()

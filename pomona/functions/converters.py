@@ -43,7 +43,7 @@ def _lines(text: str) -> str:
     return text.replace("\r\n", "\n").replace("\r", "\n").replace("\n", "\r\n")
 
 
-@converter("text", lambda f: PROBABLY if f["file_type"] in (0x04, 0x00) and _texty(f["data"]) else ALWAYS)
+@converter("text", lambda f: ALWAYS)
 def text(f):
     """Line ends as CRLF; if every byte is high, blank or zero, without the top bits."""
     d = f["data"]
@@ -51,22 +51,21 @@ def text(f):
     return "text", _lines(_ascii(d) if high else d.decode("mac_roman")), None
 
 
-def _texty(d: bytes) -> bool:
-    return sum(b & 0x7F < 0x20 and b & 0x7F not in (9, 10, 13) for b in d) <= len(d) // 100
-
-
 @converter("hex", lambda f: ALWAYS)
 def hex_dump(f):
     return "text", hex_lines(f["data"]), None
 
 
+#: What prints of each byte: its low seven bits, or a dot.
+_PRINTED = "".join(chr(b & 0x7F) if 0x20 <= b & 0x7F < 0x7F else "." for b in range(256))
+
+
 def hex_lines(d: bytes) -> str:
     """``offset: `` 16 bytes in hex, then what prints of them."""
-    out = []
+    shown, out = d.decode("latin-1").translate(_PRINTED), []
+    digits = d.hex(" ")
     for i in range(0, len(d), 16):
-        part = d[i : i + 16]
-        shown = "".join(chr(b & 0x7F) if 0x20 <= b & 0x7F < 0x7F else "." for b in part)
-        out.append(f"{i:08x}: {' '.join(f'{b:02x}' for b in part):<47} {shown:<16}".rstrip())
+        out.append(f"{i:08x}: {digits[3 * i : 3 * i + 47]:<47} {shown[i : i + 16]}".rstrip())
     return "\r\n".join(out) + "\r\n" * bool(out)
 
 
@@ -197,6 +196,10 @@ def pascal_text(f):
     return "text", "\r\n".join(out), None
 
 
+def _texty(d: bytes) -> bool:
+    return sum(b & 0x7F < 0x20 and b & 0x7F not in (9, 10, 13) for b in d) <= len(d) // 100
+
+
 @converter("cpm_text", lambda f: PROBABLY if f.get("source_fs") == "CP/M" and _texty(f["data"].split(b"\x1a")[0]) else NOT)
 def cpm_text(f):
     return "text", _lines(_ascii(f["data"].split(b"\x1a")[0])), None
@@ -493,19 +496,22 @@ def convert(f: dict, name: str | None = None) -> dict:
 
 
 def outputs(entries: DataFrame, name: str | None = None) -> DataFrame:
-    """Entries with payloads, converted: volume_id, ordinal, path and the output. Rows without data are left out."""
+    """Entries with payloads, converted: volume_id, ordinal, path and the output. Rows without either fork are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for r in b.to_dict("records"):
-                f = {**r, "data": bytes(r["data"]), "file_type": int(r["file_type"] or 0), "aux_type": int(r["aux_type"] or 0)}
+                f = {**r, "data": bytes(r["data"] or b""), "rsrc": None if r["rsrc"] is None else bytes(r["rsrc"]), "file_type": int(r["file_type"] or 0), "aux_type": int(r["aux_type"] or 0)}
                 rows.append({k: r[k] for k in ("volume_id", "ordinal", "path")} | convert(f, name))
             if rows:
                 yield pd.DataFrame(rows)
 
-    src = entries.where(F.col("data").isNotNull()).select("volume_id", "ordinal", "path", "file_type", "aux_type", "source_fs", "data")
+    src = entries.where("data is not null or rsrc is not null").select("volume_id", "ordinal", "path", "file_type", "aux_type", "source_fs", "data", "rsrc")
     return src.mapInPandas(run, f"volume_id string, ordinal int, path string, {OUTPUTS}")
 
 
+from pomona.functions import documents as _documents  # noqa: E402, F401
+from pomona.functions import listing16 as _listing16  # noqa: E402, F401
 from pomona.functions import more_converters as _more  # noqa: E402, F401
+from pomona.functions import pictures as _pictures  # noqa: E402, F401

@@ -12,27 +12,39 @@ from pomona.functions import converters as C
 STOPS = (9, 15, 26)
 
 
+#: Percentages that a source's lines must exceed, those that start with one blank and those with remarks too.
+SPACED, SPACED_OR_REMARKS = 40, 50
+
+
+def _is_merlin(d: bytes) -> bool:
+    if not d or any(not b & 0x80 and b != 0x20 for b in d):
+        return False
+    lines = [x for x in d.split(b"\x8d")]
+    lines = lines[:-1] if not lines[-1] else lines
+    spaced = sum(x[:1] in (b" ", b"\xa0") and len(x) > 1 and x[1] & 0x7F != 0x20 for x in lines)
+    remarks = sum(x[:1] == b"\xaa" for x in lines)
+    return spaced * 100 // len(lines) > SPACED or (spaced + remarks) * 100 // len(lines) > SPACED_OR_REMARKS
+
+
 def _merlin(f: dict) -> int:
-    d = f["data"]
-    if f["file_type"] != 0x04 or not d or any(not b & 0x80 and b != 0x20 for b in d):
+    """Its contents and its name's ``.S`` decide together."""
+    if f["file_type"] != 0x04:
         return C.NOT
-    lines = [x for x in d.split(b"\x8d") if x]
-    spaced = sum(x[0] & 0x7F == 0x20 and len(x) > 1 and x[1] & 0x7F != 0x20 for x in lines)
-    remarks = sum(x[0] == 0xAA for x in lines)
-    return C.YES if lines and (spaced * 100 > 40 * len(lines) or (spaced + remarks) * 100 > 50 * len(lines)) else C.NOT
+    source, named = _is_merlin(f["data"]), f.get("path", "").upper().endswith(".S")
+    return (C.YES if named else C.PROBABLY) if source else C.PROBABLY_NOT if named else C.NOT
 
 
 @C.converter("merlin", _merlin)
 def merlin(f):
-    """Label, operation, operand and remark in columns; a blank inside quotes parts nothing."""
+    """Label, operation, operand and remark in columns, parted by blanks with the top bit; others, and those in quotes, part nothing."""
     out = []
     for raw in f["data"].split(b"\x8d"):
-        text = C._ascii(raw)
-        if text.startswith("*"):
-            out.append(text)
+        if raw[:1] in (b"\xaa", b"*"):
+            out.append(C._ascii(raw))
             continue
         line, field, quote = "", 0, ""
-        for ch in text:
+        for b in raw:
+            ch = chr(b & 0x7F)
             if quote:
                 quote = "" if ch == quote else quote
             elif ch in "\"'" and field:
@@ -40,7 +52,7 @@ def merlin(f):
             elif ch == ";" and field < 3 and (not line or line[-1] == " "):
                 field = 3
                 line = line.ljust(STOPS[2])
-            elif ch == " " and field < 3:
+            elif b == 0xA0 and field < 3:
                 line = line.ljust(STOPS[field]) if len(line) < STOPS[field] else line + " "
                 field += 1
                 continue
@@ -152,3 +164,47 @@ def many_colours(data: bytes) -> np.ndarray:
 @C.converter("many_colours", C.typed(0xC1, range(2, 3)))
 def many_colours_picture(f):
     return C._picture(f, many_colours(f["data"]))
+
+
+#: Business BASIC's keywords of tokens 80-EF, and those behind an FF by their codes; _ stands for none.
+BUSINESS = (
+    "END FOR NEXT INPUT OUTPUT DIM READ WRITE OPEN CLOSE _ TEXT _ BYE _ _ _ _ _ WINDOW INVOKE PERFORM _ _ FRE HPOS VPOS ERRLIN ERR KBD EOF TIME$ DATE$ PREFIX$ EXFN. EXFN%. OUTREC INDENT _ _ _ _ _ _ _ POP HOME _ "
+    "SUB$( OFF TRACE NOTRACE NORMAL INVERSE SCALE( RESUME _ LET GOTO IF RESTORE SWAP GOSUB RETURN REM STOP ON _ LOAD SAVE DELETE RUN RENAME LOCK UNLOCK CREATE EXEC CHAIN _ _ _ CATALOG _ _ DATA IMAGE CAT DEF "
+    "_ PRINT DEL ELSE CONT LIST CLEAR GET NEW TAB TO SPC( USING THEN _ MOD STEP AND OR EXTENSION DIV _ FN NOT"
+).split()
+BUSINESS_MORE = {
+    0x80: "TAB( TO SPC( USING THEN _ MOD STEP AND OR EXTENSION DIV _ FN NOT", 0x9C: "AS SGN( INT( ABS( _ TYP( REC(", 0xAD: "PDL( BUTTON( SQR( RND( LOG( EXP( COS( SIN( TAN( ATN(",
+    0xC3: "STR$( HEX$( CHR$( LEN( VAL( ASC( TEN( _ _ CONV( CONV&( CONV$( CONV%( LEFT$( RIGHT$( MID$( INSTR(",
+}
+#: Keywords behind which no blank goes; of those behind an FF, all that open a bracket.
+CLOSE_UP = {"HPOS", "VPOS", "TIME$", "DATE$", "PREFIX$", "EXFN.", "EXFN%.", "SUB$(", "SCALE(", "REM", "SPC("}
+_MORE = {first + i: word for first, run in BUSINESS_MORE.items() for i, word in enumerate(run.split())}
+
+
+@C.converter("business_basic", C.typed(0x09))
+def business_basic(f):
+    """Lines of a length, a number and tokens; loops are indented, keywords parted by single blanks."""
+    d, at, out, depth = f["data"], 2, [], 0
+    while at + 3 <= len(d) and d[at]:
+        number = int.from_bytes(d[at + 1 : at + 3], "little")
+        end = d.find(0, at + 3)
+        body, line, tight, shown = d[at + 3 : end if end >= 0 else len(d)], f" {number}   " + "  " * depth, True, False
+        codes = iter(body)
+        for b in codes:
+            if b < 0x80:
+                tight |= b == 0x3A
+                if not tight and not shown:
+                    line, shown = line + " ", True
+                line += chr(b)
+                continue
+            depth += (b == 0x81) - (b == 0x82)
+            extended = b == 0xFF
+            word = _MORE.get(next(codes, 0), "_") if extended else BUSINESS[b - 0x80] if b - 0x80 < len(BUSINESS) else "_"
+            word = "*error*" if word == "_" else word
+            line += ("" if tight else " ") + word
+            tight, shown = word.endswith("(") if extended else word in CLOSE_UP, False
+        out.append(line)
+        if end < 0:
+            break
+        at = end + 1
+    return "text", "\r\n".join(out) + "\r\n", None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The letters of the access bits, most significant first.
@@ -63,3 +63,19 @@ def size_text(n: Column) -> Column:
 def csv_cell(text: Column) -> Column:
     """A quoted cell, its quotes doubled."""
     return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def listed(entries: DataFrame) -> DataFrame:
+    """(volume_id, ordinal) and the nine columns of a list as they are shown: path, type, aux, date, format, size, ratio, packed, access."""
+    from pomona.operators import types
+
+    total = F.coalesce(F.col("data_len"), F.lit(0)) + F.coalesce(F.col("rsrc_len"), F.lit(0))
+    disk = F.col("record_kind") == "disk"
+    path = F.when(F.length("path") == 0, "<blank filename>").otherwise(F.col("path"))
+    if "sub_volume" in entries.columns:
+        path = F.when(F.coalesce("sub_volume", F.lit("")) != "", F.concat(F.lit("_"), F.col("sub_volume"), F.lit(":"), path)).otherwise(path)
+    return entries.select(
+        "volume_id", "ordinal", path.alias("path"), types.type_shown(F.coalesce(F.col("source_fs"), F.lit("")) if "source_fs" in entries.columns else F.lit(""), F.col("file_type"), F.col("record_kind"), F.col("aux_type")).alias("type"),
+        F.when(~disk & ((F.col("file_type") > 0xFF) | (F.col("aux_type") > 0xFFFF)), mac_type(F.col("aux_type"))).otherwise(aux_type(F.col("aux_type"), disk, total)).alias("aux"), short_date(F.col("modified_at")).alias("date"), F.when(F.col("quality") == "damaged", "BROKEN").otherwise(F.col("format")).alias("format"),
+        total.cast("string").alias("size"), ratio(total, F.coalesce(F.col("packed_len"), F.lit(0)))[0].alias("ratio"), F.coalesce(F.col("packed_len"), F.lit(0)).cast("string").alias("packed"), access(F.col("access")).alias("access"),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 POLICIES = ("never", "always", "maybe", "must")
@@ -33,6 +33,27 @@ def usage_map(states: DataFrame, chunk: str, width: int = 32) -> DataFrame:
     return s.groupBy("line").agg(F.array_join(F.transform(letters, lambda x: x["state"]), "").alias("map"))
 
 
+#: Letters of what a chunk that is used and marked serves for.
+PURPOSES = {"system": "S", "volume directory": "V", "directory": "D", "data": "F", "structure": "I", "embedded": "E", "conflict": "#"}
+
+
+def chunk_letter(users: Column, marked: Column, purpose: Column) -> Column:
+    """One letter for a chunk's state: . free, X marked only, ! used only, # used twice, else its purpose or ?."""
+    used, m = F.coalesce(users, F.lit(0)) > 0, F.coalesce(marked, F.lit(False))
+    of = F.lit("?")
+    for p, letter in PURPOSES.items():
+        of = F.when(purpose == p, letter).otherwise(of)
+    return F.when(~used & ~m, ".").when(~used, "X").when(~m, "!").when(users > 1, "#").otherwise(of)
+
+
+def chunk_map(chunks: DataFrame, volume: str, chunk: str, letter: str, width: int = 32) -> DataFrame:
+    """volume, line, map: a volume's letters in lines of a fixed width, - where no chunk stands."""
+    c = chunks.select(volume, F.floor(F.col(chunk) / width).alias("line"), F.pmod(F.col(chunk), F.lit(width)).cast("int").alias("at"), F.col(letter).alias("letter"))
+    letters = F.map_from_entries(F.collect_list(F.struct("at", "letter")))  # at most `width` entries
+    place = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at("letters", i), F.lit("-")))
+    return c.groupBy(volume, "line").agg(letters.alias("letters")).select(volume, "line", F.array_join(place, "").alias("map"))
+
+
 def largest_gaps(extents: DataFrame, volume: str, start: str, stop: str) -> DataFrame:
     """volume, after, gap: the largest free run between consecutive extents; the first of equals."""
     w = Window.partitionBy(volume).orderBy(start, stop)
@@ -41,6 +62,18 @@ def largest_gaps(extents: DataFrame, volume: str, start: str, stop: str) -> Data
     return g.groupBy(volume).agg(best).select(volume, (-F.col("x.at")).alias("after"), F.col("x.gap").alias("gap"))
 
 
+def extent_overlaps(extents: DataFrame, volume: str, start: str, stop: str, total: str | None = None) -> DataFrame:
+    """Extents [start, stop) with `overlaps`, where an earlier one of the volume reaches into them, and `outside`, where they are empty, backward or leave the volume.
+
+    Volumes without a bitmap can be checked no further.
+    """
+    before = Window.partitionBy(volume).orderBy(start, stop).rowsBetween(Window.unboundedPreceding, -1)
+    bad = F.col(stop) <= F.col(start)
+    if total is not None:
+        bad |= (F.col(stop) > F.col(total)) | (F.col(start) < 0)
+    return extents.withColumn("overlaps", F.coalesce(F.max(stop).over(before) > F.col(start), F.lit(False))).withColumn("outside", bad)
+
+
 def longest_runs(rows: DataFrame, group: str, order: str, same: str) -> DataFrame:
     """group, value, length: the longest run of equal values in order; the first value of equals."""
     w = Window.partitionBy(group).orderBy(order)
@@ -68,8 +101,8 @@ def upsert_actions(existing: DataFrame, incoming: DataFrame, key: str, when: str
 
 
 def last_range_match(rows: DataFrame, table: DataFrame, kind: str, value: str, lo: str, hi: str, position: str, text: str) -> DataFrame:
-    """Rows with `text` of the last table row of the same kind whose range holds the value. The table is a bounded dimension."""
-    j = rows.join(F.broadcast(table.withColumnRenamed(kind, "__kind")), (F.col(kind) == F.col("__kind")) & F.col(value).between(F.col(lo), F.col(hi)), "left")
+    """Rows with `text` of the last table row of the same kind whose range holds the value. Catalyst broadcasts the table if it is small."""
+    j = rows.join(table.withColumnRenamed(kind, "__kind"), (F.col(kind) == F.col("__kind")) & F.col(value).between(F.col(lo), F.col(hi)), "left")
     return j.groupBy(*rows.columns).agg(F.max(F.struct(position, text)).alias("__x")).select(*rows.columns, F.col(f"__x.{text}").alias(text))
 
 

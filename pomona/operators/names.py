@@ -104,11 +104,58 @@ def local_name(name: Column, preserve: bool) -> Column:
     return F.when(name.rlike(reserved), F.concat(F.lit("%00"), out)).otherwise(out)
 
 
+#: Characters that Pascal names can't have, and the longest extension, with its dot, that a cut keeps.
+PASCAL_BAD, KEPT_EXTENSION = "$=?,[#:", 4
+#: Longest names; HFS names beyond 31 characters are cut to 15.
+LONGEST = {"ProDOS": 15, "DOS": 30, "Pascal": 15, "HFS": 31}
+
+
+def _cut(name: Column, longest: int, to: int | None = None) -> Column:
+    """A name cut to `to` characters if it is longer than `longest`; a short extension is kept."""
+    to = longest if to is None else to
+    tail = F.concat(F.lit("."), F.substring_index(name, ".", -1))
+    keeps = name.contains(".") & (F.length(tail) <= KEPT_EXTENSION)
+    short = F.when(keeps, F.concat(name.substr(F.lit(1), F.lit(to) - F.length(tail)), tail)).otherwise(F.substring(name, 1, to))
+    return F.when(F.length(name) > longest, short).otherwise(name)
+
+
 def prodos_name(name: Column) -> Column:
-    """At most 15 letters, digits and dots, in upper case, starting with a letter."""
-    out = F.regexp_replace(F.upper(name), "[^A-Z0-9.]", ".")
-    out = F.when(out.rlike("^[A-Z]"), out).otherwise(F.concat(F.lit("A"), out))
-    return F.substring(out, 1, 15)
+    """At most 15 letters, digits, dots and blanks, the first a letter: A goes before a digit, Z stands for nothing.
+
+    Case is kept, and blanks too; ``prodos_stored`` gives what a directory holds.
+    """
+    start = F.regexp_replace(name, "^[^A-Za-z0-9]+", "")
+    start = F.when(start == "", "Z").when(start.rlike("^[0-9]"), F.concat(F.lit("A"), start)).otherwise(start)
+    return _cut(F.regexp_replace(start, "[^A-Za-z0-9. ]", ""), LONGEST["ProDOS"])
+
+
+def prodos_stored(name: Column) -> Column:
+    """The upper-case name of a directory entry; blanks are dots there."""
+    return F.translate(F.upper(name), " ", ".")
+
+
+def dos_name(name: Column) -> Column:
+    """At most 30 printable ASCII characters in upper case, with ``_`` for a comma; BLANK if nothing is left."""
+    out = F.substring(F.upper(F.translate(F.regexp_replace(name, "[^\\x20-\\x7E]", ""), ",", "_")), 1, LONGEST["DOS"])
+    return F.when(out == "", "BLANK").otherwise(out)
+
+
+def pascal_name(name: Column) -> Column:
+    """At most 15 printable characters in upper case without blanks and those that Pascal reserves; BLANK if nothing is left."""
+    out = F.substring(F.upper(F.regexp_replace(name, "[^\\x21-\\x7E]|[" + re.escape(PASCAL_BAD) + "]", "")), 1, LONGEST["Pascal"])
+    return F.when(out == "", "BLANK").otherwise(out)
+
+
+def hfs_name(name: Column) -> Column:
+    return _cut(F.translate(name, ":", "_"), LONGEST["HFS"], LONGEST["ProDOS"])
+
+
+def normalized(path: Column, kind: str, sep: str) -> Column:
+    """A path as a file system takes it: flat ones get the last component, others all, parted by their own separator."""
+    if kind in ("DOS", "Pascal"):
+        return (dos_name if kind == "DOS" else pascal_name)(F.substring_index(path, sep, -1))
+    own, part = ("/", prodos_name) if kind == "ProDOS" else (":", hfs_name)
+    return F.array_join(F.transform(F.split(path, re.escape(sep)), part), own)
 
 
 def lower_case_flags(name: Column, flags: Column) -> Column:

@@ -49,3 +49,31 @@ def high_ascii(text: Column) -> Column:
 
 def to_crlf(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n|\r|\n", "\r\n")
+
+
+ENDS = {"crlf": "\r\n", "lf": "\n", "cr": "\r"}
+
+
+def without_high_bits(text: Column) -> Column:
+    """Every byte's top bit cleared. `text` holds one character a byte."""
+    return F.translate(text, "".join(map(chr, range(128, 256))), "".join(map(chr, range(128))))
+
+
+def converted(text: Column, ends: str = "crlf", mode: str = "on", high: str = "off", strip_nulls: bool = False) -> Column:
+    """A file's bytes (one character each) with other line ends, and without high bits or zeros if asked for.
+
+    mode: on, off, or auto, which converts what looks like text and hasn't CRLF line ends already. high: on, off, or auto,
+    which clears the top bits of what has them in every byte. Without a conversion of line ends nothing else is done.
+    """
+    if mode not in ("on", "off", "auto") or high not in ("on", "off", "auto") or ends not in ENDS:
+        raise ValueError("no such conversion")
+    if mode == "off":
+        return text
+    plain = {"off": text, "on": without_high_bits(text), "auto": F.when(high_ascii(text), without_high_bits(text)).otherwise(text)}[high]
+    out = F.regexp_replace(plain, "\r\n|\r|\n", ENDS[ends])
+    if strip_nulls:
+        out = F.replace(out, F.lit("\0"), F.lit(""))
+    if mode == "on":
+        return out
+    kind = text_kind(plain)  # what has its top bits set is text once they are cleared
+    return F.when((kind == "off") | (kind == "crlf"), text).otherwise(out)

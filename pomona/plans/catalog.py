@@ -16,6 +16,7 @@ from pomona.operators import display as S
 from pomona.operators import edits as X
 from pomona.operators import integrity as I
 from pomona.operators import names as N
+from pomona.operators import summary as M
 from pomona.operators import text as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,16 +64,10 @@ def eol_conversion(t):
 
 
 @query(_EOLS + r""",
-a as (select doc_id, t, length(t) as n, length(t) - length(regexp_replace(t, '[\x00-\x07\x0B\x0E-\x1F\x7F]', '', 'g')) as b,
-  length(t) - length(replace(t, chr(10), '')) as lf, length(t) - length(replace(t, chr(13), '')) as cr from d where strlen(t) = length(t))
+h as (select doc_id, coalesce(t, '') as t, regexp_extract_all(hex(encode(coalesce(t, ''))), '..') as h from d),
+a as (select doc_id, strlen(t) as n, len(list_filter(h, lambda x: x <= '07' or x = '0B' or x between '0E' and '1F' or x = '7F' or x between '80' and '9F')) as b, length(t) - length(replace(t, chr(10), '')) as lf, length(t) - length(replace(t, chr(13), '')) as cr from h)
 select doc_id, case when n < 40 or b > (case when n < 100 then 1 else n // 100 end) then 'off' when lf > 0 and cr = 0 then 'lf' when lf = 0 and cr > 0 then 'cr' when lf > 0 and lf = cr then 'crlf' else 'unknown' end as kind from a""")
 def text_detection(t):
-    """Texts of one byte a character, where SQL can tell bytes."""
-    return _line_ends(t).where(F.octet_length("t") == F.length("t")).select("doc_id", T.text_kind(F.col("t")).alias("kind"))
-
-
-@query(None)
-def text_detection_all(t):
     """Every text, by its bytes in UTF-8; null is the empty text."""
     return _line_ends(t).select("doc_id", T.text_kind(T.byte_text(F.coalesce("t", F.lit("")))).alias("kind"))
 
@@ -105,10 +100,10 @@ def cross_separator_paths(t):
     return a.join(b, "k").select("page_id", "other_id")
 
 
-@query("""with c as (select c_custkey, c_nationkey, left(c_name, 12) as name from customer), n as (select *, row_number() over (partition by c_nationkey, name order by c_custkey) - 1 as n from c)
+@query("""with c as (select c_custkey, c_nationkey, c_mktsegment as name from customer), n as (select *, row_number() over (partition by c_nationkey, name order by c_custkey) - 1 as n from c)
 select c_custkey, case when n = 0 then name else left(name, least(length(name), 15 - length('.' || n))) || '.' || n end as unique_name from n""")
 def unique_names(t):
-    c = t("customer").select("c_custkey", "c_nationkey", F.substring("c_name", 1, 12).alias("name"))
+    c = t("customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("name"))
     return N.unique_names(c, "name", "c_nationkey", "c_custkey", 15).select("c_custkey", "unique_name")
 
 
@@ -160,16 +155,9 @@ def selection_mask(t):
     return t("lineitem").where(~damaged & (F.col("l_linenumber").bitwiseAND(3).bitwiseAND(mask) != 0)).select("l_orderkey", "l_linenumber")
 
 
-@query("""select p_partkey, cast(rank as int) as rank from (select p_partkey, row_number() over (order by lower(p_type), p_size, p_partkey) as rank from part) where rank <= 100""")
-def catalog_sort(t):
-    """The first hundred by type without case, ties by aux type, then by key."""
-    top = t("part").select("p_partkey", F.lower("p_type").alias("kind"), "p_size").orderBy("kind", "p_size", "p_partkey").limit(100)
-    return top.select("p_partkey", F.row_number().over(Window.orderBy("kind", "p_size", "p_partkey")).alias("rank"))
-
-
 @query("""select p_partkey, row_number() over (order by lower(p_type), p_size, p_partkey) as rank from part""")
-def catalog_sort_all(t):
-    """The whole list in the order of `catalog_sort`: a row's rank is its place in its type and size, after all that come before these."""
+def catalog_sort(t):
+    """The whole list by type without case, ties by aux type, then by key: a row's rank is its place in its type and size, after all that come before these."""
     p = t("part").select("p_partkey", F.lower("p_type").alias("kind"), "p_size")
     sizes = p.groupBy("kind", "p_size").agg(F.count(F.lit(1)).alias("n"))  # the window without partitions runs over these alone
     before = F.coalesce(F.sum("n").over(Window.orderBy("kind", "p_size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -214,17 +202,19 @@ def fork_pairing(t):
     return side("user", "data_turn").join(side("assistant", "rsrc_turn"), ["conv_id", "n"], "full_outer").fillna(-1, ["data_turn", "rsrc_turn"])
 
 
-_USED = "select l_partkey as chunk, l_suppkey from lineitem where l_returnflag = 'R' and l_linenumber = 1"
-_STATES = f"""with u as (select chunk, count(*) as users from ({_USED}) group by chunk), m as (select p_partkey as chunk from part where p_size % 3 <> 0),
+_USED = "select l_orderkey as chunk, l_suppkey from lineitem"
+_STATES = f"""with u as (select chunk, count(*) as users from ({_USED}) group by chunk), m as (select case when o_custkey % 5 = 0 then o_orderkey + 100000000 else o_orderkey end as chunk from orders where o_custkey % 3 <> 0),
 s as (select coalesce(u.chunk, m.chunk) as chunk, case when users > 1 then '#' when users is null then '?' when m.chunk is null then '!' else 'X' end as state from u full join m on u.chunk = m.chunk)"""
 
 
 def _used(t) -> DataFrame:
-    return t("lineitem").where((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1)).select(F.col("l_partkey").alias("chunk"), "l_suppkey")
+    return t("lineitem").select(F.col("l_orderkey").alias("chunk"), "l_suppkey")
 
 
 def _states(t) -> DataFrame:
-    return I.usage_check(_used(t), t("part").where(F.col("p_size") % 3 != 0).select(F.col("p_partkey").alias("chunk")), "chunk")
+    """Orders as chunks that their lines use; the bitmap marks some of them, and some that nothing uses."""
+    marked = t("orders").where(F.col("o_custkey") % 3 != 0).select(F.when(F.col("o_custkey") % 5 == 0, F.col("o_orderkey") + 100000000).otherwise(F.col("o_orderkey")).alias("chunk"))
+    return I.usage_check(_used(t), marked, "chunk")
 
 
 @query(_STATES + " select chunk, state from s")
@@ -288,7 +278,7 @@ for _p in I.POLICIES:
 def type_lookup(t):
     """A code's name from a dimension table, or the code itself in hex."""
     r = t("region").where(F.col("r_regionkey") < 3)
-    return t("nation").join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", F.coalesce("r_name", F.concat(F.lit("$"), F.hex("n_regionkey"))).alias("kind"))
+    return t("nation").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", F.coalesce("r_name", F.concat(F.lit("$"), F.hex("n_regionkey"))).alias("kind"))
 
 
 @query("""with t as (select * from (values (0, 0, 50, 0, 'any'), (1, 10, 30, 1, 'middle'), (1, 20, 40, 2, 'late'), (2, 0, 9, 3, 'low'), (2, 5, 9, 4, 'lower')) as x(kind, lo, hi, pos, descr))
@@ -348,37 +338,37 @@ def local_names(t):
     return t("pages").select("page_id", N.local_name(n, False).alias("local"))
 
 
-@query("""select c_custkey, left(case when regexp_matches(n, '^[A-Z]') then n else 'A' || n end, 15) as name from (select c_custkey, regexp_replace(upper(c_mktsegment || '#' || c_custkey), '[^A-Z0-9.]', '.', 'g') as n from customer)""")
-def prodos_names(t):
-    return t("customer").select("c_custkey", N.prodos_name(F.concat("c_mktsegment", F.lit("#"), F.col("c_custkey").cast("string"))).alias("name"))
+_SQL_CUT = lambda n, most, to: f"case when length({n}) > {most} then case when contains({n}, '.') and length(split_part({n}, '.', -1)) <= 3 then left({n}, {to} - 1 - length(split_part({n}, '.', -1))) || '.' || split_part({n}, '.', -1) else left({n}, {to}) end else {n} end"
 
 
-@query("""with a as (select doc_id, text from documents where doc_id % 2 = 0), b as (select doc_id, case when doc_id % 10 = 0 then text || '.' else text end as text from documents where doc_id % 2 = 0)
-select 'lost' as side, count(*) as n from (select doc_id, md5(text) from a except all select doc_id, md5(text) from b) union all select 'new', count(*) from (select doc_id, md5(text) from b except all select doc_id, md5(text) from a)""")
-def recompress_compare(t):
-    """Digests before and after a rewrite, compared as sets both ways."""
-    return _compared(t("documents").where(F.col("doc_id") % 2 == 0))
+@query(f"""with n as (select c_custkey, case c_custkey % 4 when 0 then c_name || '.txt' when 1 then '#' || c_custkey || ' ' || c_mktsegment when 2 then lower(c_mktsegment) || ':,' || c_name || '.c' else '?$' end as name from customer),
+s as (select c_custkey, name, regexp_replace(name, '^[^A-Za-z0-9]+', '') as start from n), p as (select *, regexp_replace(case when start = '' then 'Z' when regexp_matches(start, '^[0-9]') then 'A' || start else start end, '[^A-Za-z0-9. ]', '', 'g') as plain, replace(name, ':', '_') as mac from s)
+select c_custkey, {_SQL_CUT('plain', 15, 15)} as prodos, upper(replace({_SQL_CUT('plain', 15, 15)}, ' ', '.')) as stored, left(upper(replace(name, ',', '_')), 30) as dos,
+  case when regexp_replace(name, '[^\x21-\x7E]|[$=?,\\[#:]', '', 'g') = '' then 'BLANK' else left(upper(regexp_replace(name, '[^\x21-\x7E]|[$=?,\\[#:]', '', 'g')), 15) end as pascal, {_SQL_CUT('mac', 31, 15)} as hfs from p""")
+def normalized_names(t):
+    """Names as each file system takes them."""
+    k = F.col("c_custkey")
+    name = F.when(k % 4 == 0, F.concat("c_name", F.lit(".txt"))).when(k % 4 == 1, F.concat(F.lit("#"), k.cast("string"), F.lit(" "), "c_mktsegment")).when(k % 4 == 2, F.concat(F.lower("c_mktsegment"), F.lit(":,"), "c_name", F.lit(".c"))).otherwise("?$")
+    c = t("customer").select("c_custkey", name.alias("name"))
+    n = F.col("name")
+    return c.select("c_custkey", N.prodos_name(n).alias("prodos"), N.prodos_stored(N.prodos_name(n)).alias("stored"), N.dos_name(n).alias("dos"), N.pascal_name(n).alias("pascal"), N.hfs_name(n).alias("hfs"))
 
 
 @query("""with a as (select doc_id, text from documents), b as (select doc_id, case when doc_id % 10 = 0 then text || '.' else text end as text from documents)
 select 'lost' as side, count(*) as n from (select doc_id, md5(text) from a except all select doc_id, md5(text) from b) union all select 'new', count(*) from (select doc_id, md5(text) from b except all select doc_id, md5(text) from a)""")
-def recompress_compare_all(t):
-    """The same over all documents, those with odd or null ids too."""
-    return _compared(t("documents"))
-
-
-def _compared(d: DataFrame) -> DataFrame:
+def recompress_compare(t):
+    """Digests of all documents before and after a rewrite, compared as sets both ways."""
+    d = t("documents")
     a = d.select("doc_id", F.md5("text").alias("h"))
     b = d.select("doc_id", F.md5(F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))).alias("h"))
     side = lambda x, y, n: x.exceptAll(y).agg(F.lit(n).alias("side"), F.count(F.lit(1)).alias("n"))
     return side(a, b, "lost").union(side(b, a, "new"))
 
 
-@query("""select b, n, cast(rank as int) as rank from (select b, count(*) as n, row_number() over (order by count(*) desc, b) as rank from (select unnest(string_split(text, '')) as b from documents) group by b) where rank <= 20""")
+@query("""select value, n, cast(row_number() over (order by n desc, value) as int) as rank from (select cast('0x' || h as int) as value, count(*) as n from (select unnest(regexp_extract_all(hex(encode(text)), '..')) as h from documents) group by 1)""")
 def byte_histogram(t):
-    """The twenty most frequent characters, as a packer chooses its favourites."""
-    n = t("documents").select(F.explode(F.split("text", "")).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    return n.orderBy(F.desc("n"), "b").limit(20).select("b", "n", F.row_number().over(Window.orderBy(F.desc("n"), "b")).alias("rank"))
+    """How often each byte stands in the documents, most frequent first, as a packer chooses its favourites."""
+    return M.byte_histogram(t("documents").select(F.encode("text", "UTF-8").alias("data")), "data")
 
 
 @query("""select l_orderkey, bit_xor(cast(l_partkey as bigint)) # 255 as checksum from lineitem group by l_orderkey""".replace("bit_xor(cast(l_partkey as bigint)) # 255", "xor(bit_xor(cast(l_partkey as bigint)), cast(255 as bigint))"))
@@ -428,7 +418,7 @@ def envelope_pricing_summary(t):
 where r_name = (select min(r_name) from region) and o_orderdate >= timestamp '1996-01-01' group by n_name""")
 def envelope_region_orders(t):
     r = t("region").join(t("region").agg(F.min("r_name").alias("r_name")), "r_name", "left_semi")
-    n = t("nation").join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
-    c = t("customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    n = t("nation").join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    c = t("customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
     o = t("orders").where(F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp")).select("o_custkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
     return o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("orders"), F.sum("cents").alias("cents"))

@@ -8,8 +8,9 @@ import struct
 import zipfile
 import zlib
 from dataclasses import dataclass, field
+from datetime import datetime
 
-from pomona.functions import ddd
+from pomona.functions import ddd, flux, gcr35
 from pomona.functions.codecs import rotating_sum
 from pomona.functions.nibbles import decode_track, encode_track, reorder, skew
 
@@ -91,13 +92,14 @@ def _salvage(data: bytes) -> bytes:
     return bytes(out)
 
 
-def wrap(data: bytes, kind: str | None, name: str = "image.po") -> bytes:
+def wrap(data: bytes, kind: str | None, name: str = "image.po", when: datetime | None = None) -> bytes:
+    """A gzip or zip wrapper; its time is `when`, or the same for all without it, so that equal data give equal files."""
     if kind == "gzip":
-        return gzip.compress(data, mtime=0)
+        return gzip.compress(data, mtime=0 if when is None else int(when.timestamp()))
     if kind == "zip":
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr(zipfile.ZipInfo(name, (1990, 1, 1, 0, 0, 0)), data, zipfile.ZIP_DEFLATED)
+            z.writestr(zipfile.ZipInfo(name, (1990, 1, 1, 0, 0, 0) if when is None else when.timetuple()[:6]), data, zipfile.ZIP_DEFLATED)
         return out.getvalue()
     return data
 
@@ -239,6 +241,49 @@ def write_ddd(image: Image, volume: int = 254) -> bytes:
     return ddd.pack(reorder(image.data, "dos", image.order) if image.order else image.data, volume)
 
 
+FDI = b"Formatted Disk Image file\r\n"
+
+
+def read_fdi(data: bytes) -> Image:
+    """A flux image: a header with a descriptor for each track, then tracks of pulse streams in whole 256 bytes.
+
+    5.25-inch disks become 35 tracks of sectors, 3.5-inch ones 800K of blocks. Tracks that can't be read are bad
+    sectors; more than half of them make the image none.
+    """
+    if data[:27] != FDI or len(data) < 512:
+        raise ValueError("no flux image")
+    last_track, last_head, kind = int.from_bytes(data[142:144], "big"), data[144], data[145]
+    heads = last_head + 1
+    if (kind, heads) not in ((1, 1), (2, 2)) or last_track > 83:
+        raise ValueError("a flux image of an unknown drive")
+    tracks, at, failed = [], 512, 0
+    for i in range((last_track + 1) * heads):
+        word = int.from_bytes(data[152 + 2 * i : 154 + 2 * i], "big")
+        size = (word & 0x3FFF if word >> 14 == 2 else word & 0xFF) * 256
+        rate = flux.RATE if kind == 1 else flux.RATES[min(4, i // heads // 16)]
+        try:
+            if word >> 14 != 2:
+                raise ValueError("a blank track, or one that isn't pulses")
+            tracks.append(flux.disk_bytes(flux.bits(*flux.streams(data[at : at + size]), rate)))
+        except (ValueError, struct.error, IndexError):
+            failed += 1
+            tracks.append(b"")
+        at += size
+    if failed > len(tracks) // 2:
+        raise ValueError("hardly a track can be read")
+    image = Image(b"", "physical" if kind == 1 else None, 16, "fdi", "nibbles" if kind == 1 else "sectors")
+    out = []
+    for i, track in enumerate(tracks[:35] if kind == 1 else tracks[:160]):
+        found = decode_track(track, i) if kind == 1 else gcr35.decode_track(track, i // 2, i % 2)
+        image.bad.update((i, s) for s, sector in enumerate(found) if sector is None)
+        out += [sector or bytes(256 if kind == 1 else 512) for sector in found]
+    image.data = b"".join(out)
+    image.data = image.data.ljust(143360 if kind == 1 else 819200, b"\0")
+    if image.bad:
+        image.notes.append(("warning", f"{len(image.bad)} sectors can't be read"))
+    return image
+
+
 def read_hdv(data: bytes) -> Image:
     if data[:13] != b"SIMSYSTEM_HDV":
         raise ValueError("not a Sim //e volume")
@@ -260,7 +305,7 @@ def read_sectors(data: bytes, order: str | None = None) -> Image:
 
 
 #: Extensions that settle the format, and the order a bare sector image is taken to be in.
-BY_EXTENSION = {"2mg": read_2mg, "2img": read_2mg, "dc": read_dc42, "dc6": read_dc42, "nib": read_nibbles, "nb2": read_nibbles, "hdv": read_hdv, "app": read_trackstar, "ddd": read_ddd}
+BY_EXTENSION = {"2mg": read_2mg, "2img": read_2mg, "dc": read_dc42, "dc6": read_dc42, "nib": read_nibbles, "nb2": read_nibbles, "hdv": read_hdv, "app": read_trackstar, "ddd": read_ddd, "fdi": read_fdi}
 ORDERS = {"do": "dos", "dsk": "dos", "po": "prodos", "d13": None, "cpm": "cpm", "raw": "physical"}
 
 
@@ -280,7 +325,7 @@ def open_image(name: str, data: bytes) -> tuple[Image, str | None]:
             image = read_sectors(data, ORDERS[extension])
         except ValueError:
             image = None
-    for read in () if image else (read_dc42, read_2mg, read_ddd, read_hdv, read_trackstar, read_nibbles, read_sectors):
+    for read in () if image else (read_fdi, read_dc42, read_2mg, read_ddd, read_hdv, read_trackstar, read_nibbles, read_sectors):
         try:
             image = read(data)
             break

@@ -7,7 +7,7 @@ uses. Damage never stops a catalogue; it is noted on the entry.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from datetime import datetime
 
 from pomona.sources.disk import Image
@@ -133,7 +133,7 @@ def _prodos_name(raw: bytes, flags: bytes) -> str:
 def build_prodos(volume: str, files: list[dict], blocks: int = 280) -> bytes:
     """A volume image with the given files (path, data, rsrc, file_type, aux_type, access, created, modified).
 
-    Directories are made as paths need them. Blocks of zeros inside a file become holes.
+    Directories are made as paths need them, or by rows with the record_kind directory. Blocks of zeros inside a file become holes.
     """
     bitmap = -(-blocks // 4096)
     disk, free = bytearray(blocks * 512), iter(range(6 + bitmap, blocks))
@@ -185,7 +185,10 @@ def build_prodos(volume: str, files: list[dict], blocks: int = 280) -> bytes:
         *parents, name = f["path"].split("/")
         for p in parents:
             at = at.setdefault(p, {})
-        at[name] = f
+        if f.get("record_kind") == "directory":  # one that may stay empty
+            at.setdefault(name, {})
+        else:
+            at[name] = f
 
     def directory(node: dict, chain: list[int], head: bytes) -> None:
         rows = [head]
@@ -252,6 +255,7 @@ class DOS:
             good += 1
         if good < 3:
             raise ValueError("no DOS catalogue")
+        self.good = good
         self.volume = f"DOS {self.vtoc[6]:03d}"
         self.used.update((0, s) for s in range(image.sectors))
         self.used.update((t, s) for t in (1, 2) for s in range(image.sectors))
@@ -483,23 +487,32 @@ class CPM:
             yield out
 
 
-def open_filesystem(image: Image, forced: str | None = None):
+def open_filesystem(image: Image, forced: str | None = None, extra: Sequence[type] = ()):
     """The file system on an image, trying its preferred sector order first; None if there is none that is known.
 
-    The order of detection is part of the result on hybrid disks.
+    The order of detection is part of the result on hybrid disks. extra: further file systems, classes like those here,
+    which are tried last.
     """
     from pomona.sources.more_filesystems import FAT, HFS, RDOS, Gutenberg
 
-    kinds = [k for k in (FAT, DOS, ProDOS, Pascal, CPM, RDOS, HFS, Gutenberg) if forced in (None, k.name)]
+    kinds = [k for k in (FAT, DOS, ProDOS, Pascal, CPM, RDOS, HFS, Gutenberg, *extra) if forced in (None, k.name)]
     if image.order and image.physical == "sectors" and len(image.data) % 4096 == 0:
         orders = [image.order, *(o for o in ("prodos", "dos", "cpm", "physical") if o != image.order)]
     else:
         orders = [image.order]
     for kind in kinds:
+        best = None
         for order in orders:
             trial = Image(image.data, order, image.sectors, image.file_format, image.physical, image.volume, image.damaged, image.notes, image.bad)
             try:
-                return kind(trial)
+                found = kind(trial)
             except (ValueError, IndexError):
                 continue
+            # a catalogue's first sector stands at the same place in all orders, so its longest chain decides
+            if best is None or getattr(found, "good", 0) > getattr(best, "good", 0):
+                best = found
+            if kind is not DOS:
+                break
+        if best is not None:
+            return best
     return None

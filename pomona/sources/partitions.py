@@ -95,7 +95,7 @@ SCHEMES = (("MacPart", mac_map), ("MicroDrive", micro_drive), ("FocusDrive", foc
 
 def open_partitions(image: Image) -> tuple[str, list[tuple[str, Image | None]]] | None:
     """The scheme and volumes on block media, or None."""
-    if image.sectors != 16 or image.order is not None or len(image.data) < 819200:
+    if image.sectors != 16 or image.order not in (None, "prodos") or len(image.data) < 819200:
         return None
     for name, scheme in SCHEMES:
         try:
@@ -103,3 +103,38 @@ def open_partitions(image: Image) -> tuple[str, list[tuple[str, Image | None]]]
         except (ValueError, IndexError, struct.error):
             continue
     return None
+
+
+def embedded(system) -> Iterator[tuple[str, Image, range]]:
+    """DOS volumes in the blocks at the end of an 800K ProDOS disk that its bitmap marks but no file uses: name, image, blocks.
+
+    One volume of up to 50 tracks, several of 140K, or five of 160K, the first of which has lost its first tracks.
+    """
+    from pomona.sources.filesystems import DOS
+
+    if system is None or system.name != "ProDOS" or system.total != 1600:
+        return
+    marked, first = system.marked(), system.total
+    while first and first - 1 in marked and first - 1 not in system.used:
+        first -= 1
+    idle = system.total - first
+    tries = []
+    if idle >= 280 and idle % 8 == 0 and idle <= 400:
+        tries.append([(first, idle)])
+    if idle >= 280 and idle % 280 == 0:
+        tries.append([(first + 280 * i, 280) for i in range(idle // 280)])
+    if idle in (1537, 1593):
+        tries.append([(320 * i, 320) for i in range(5)])
+    for places in tries:
+        found = []
+        for n, (start, count) in enumerate(places):
+            # the volume's blocks hold its tracks in ProDOS order
+            image = Image(system.image.data[start * 512 : (start + count) * 512], "prodos")
+            try:
+                DOS(image)
+            except (ValueError, IndexError):
+                continue
+            found.append((f"DOS {n + 1}", image, range(max(start, first), start + count)))
+        if found:
+            yield from found
+            return

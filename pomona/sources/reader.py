@@ -8,16 +8,18 @@ when asked for.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from pomona.functions.nibbles import TO_PHYSICAL
 from pomona.sources import archives
-from pomona.sources.disk import Image, open_image, unwrap
+from pomona.sources.disk import TRACK, Image, open_image, unwrap
 from pomona.sources.filesystems import open_filesystem
-from pomona.sources.partitions import open_partitions
+from pomona.sources.partitions import embedded, open_partitions
 
 VOLUMES = "container_path string, volume_id string, parent_volume_id string, depth int, outer_format string, file_format string, physical_format string, sector_order string, fs_format string, num_tracks int, sect_per_track int, num_blocks long, volume_name string, dos_volume_num int, damaged boolean, notes array<struct<level: string, text: string>>, status string, error string"
 ENTRIES = "container_path string, volume_id string, ordinal int, path string, fssep string, sub_volume string, record_kind string, file_type long, aux_type long, access int, created_at timestamp_ntz, modified_at timestamp_ntz, data_len long, rsrc_len long, packed_len long, format string, source_fs string, quality string, data binary, rsrc binary"
@@ -69,8 +71,21 @@ def _archive(name: str, data: bytes):
     return None
 
 
-def scan(path: str, data: bytes, fs: str | None = None) -> Iterator[tuple[dict, list[dict], object]]:
-    """(volume, entries, file system) of a file and, below it, of the images inside it."""
+def _image(name: str, body: bytes, wrappers: Sequence[Callable[[bytes], Image]]) -> tuple[Image, str | None]:
+    for read in wrappers:
+        try:
+            return read(body), None
+        except (ValueError, IndexError, struct.error):
+            continue
+    return open_image(name, body)
+
+
+def scan(path: str, data: bytes, fs: str | None = None, order: str | None = None, extra: Sequence[type] = (), wrappers: Sequence[Callable[[bytes], Image]] = ()) -> Iterator[tuple[dict, list[dict], object]]:
+    """(volume, entries, file system) of a file and, below it, of the images inside it.
+
+    fs and order: force a file system, and the order in which 16-sector tracks are kept. extra: further file systems.
+    wrappers: further image formats, functions that read one or raise ValueError; they are tried first.
+    """
     stack: list[tuple] = [(path.rsplit("/", 1)[-1], data, path, None, 0)]
     while stack:
         name, body, volume_id, parent, depth = stack.pop()
@@ -85,12 +100,19 @@ def scan(path: str, data: bytes, fs: str | None = None) -> Iterator[tuple[dict,
                 if depth < DEPTH:
                     stack += [(n, d, f"{volume_id}:{n}", volume_id, depth + 1) for n, d in disks]
             else:
-                image, outer = (body, None) if isinstance(body, Image) else open_image(name, body)
+                image, outer = (body, None) if isinstance(body, Image) else _image(name, body, wrappers)
+                if order is not None and depth == 0:
+                    if order not in TO_PHYSICAL or image.sectors != 16 or len(image.data) % TRACK:
+                        raise ValueError(f"the image can't be read in {order} order")
+                    image = replace(image, order=order)
                 parts = open_partitions(image) if depth < DEPTH and fs is None else None
-                system = None if parts else open_filesystem(image, fs)
+                system = None if parts else open_filesystem(image, fs, extra)
                 used = system.image if system else image
                 volume |= dict(outer_format=outer, file_format=image.file_format, physical_format=image.physical, sector_order=used.order, fs_format=parts[0] if parts else system.name if system else "unknown", num_tracks=image.tracks, sect_per_track=image.sectors, num_blocks=image.blocks, volume_name=system.volume if system else None, dos_volume_num=image.volume, damaged=image.damaged, notes=list(image.notes))
                 entries = list(system.entries()) if system else []
+                for n, part, blocks in embedded(system) if depth < DEPTH and fs is None else ():
+                    system.used.update(blocks)
+                    stack.append((n, part, f"{volume_id}:{n}", volume_id, depth + 1))
                 for n, part in parts[1] if parts else ():
                     if part is None:  # a partition that can't be read is still listed
                         yield dict(container_path=path, volume_id=f"{volume_id}:{n}", parent_volume_id=volume_id, depth=depth + 1, damaged=True, notes=[], status="failed", error="the partition lies beyond the image"), [], None
@@ -118,23 +140,24 @@ def _table(files: DataFrame, schema: str, rows) -> DataFrame:
     return files.mapInPandas(run, schema)
 
 
-def volumes(files: DataFrame, fs: str | None = None) -> DataFrame:
-    """One row per volume of the files (path, content), embedded ones included."""
+def volumes(files: DataFrame, fs: str | None = None, **options) -> DataFrame:
+    """One row per volume of the files (path, content), embedded ones included. options: those of `scan`."""
 
     def rows(path, content):
-        for v, _, _ in scan(path, content, fs):
+        for v, _, _ in scan(path, content, fs, **options):
             yield v | {"notes": [{"level": a, "text": b} for a, b in v["notes"]]}
 
     return _table(files, VOLUMES, rows)
 
 
-def entries(files: DataFrame, fs: str | None = None, payload: bool = False) -> DataFrame:
-    """One row per file in the containers."""
+def entries(files: DataFrame, fs: str | None = None, payload: bool = False, **options) -> DataFrame:
+    """One row per file in the containers; `sub_volume` names the volume inside a container. options: those of `scan`."""
 
     def rows(path, content):
-        for v, found, system in scan(path, content, fs):
+        for v, found, system in scan(path, content, fs, **options):
+            inside = v["volume_id"][len(path) + 1 :]
             for i, e in enumerate(found):
-                own = dict(container_path=path, volume_id=v["volume_id"], ordinal=i, created_at=e["created"], modified_at=e["modified"], source_fs=system.name if system else v.get("file_format"))
+                own = dict(container_path=path, volume_id=v["volume_id"], ordinal=i, sub_volume=inside, created_at=e["created"], modified_at=e["modified"], source_fs=system.name if system else v.get("file_format"))
                 yield e | own | ({} if payload else {"data": None, "rsrc": None})
 
     return _table(files, ENTRIES, rows)
@@ -158,11 +181,11 @@ def threads(files: DataFrame, payload: bool = False) -> DataFrame:
     return _table(files, THREADS, rows)
 
 
-def chunks(files: DataFrame, fs: str | None = None) -> DataFrame:
+def chunks(files: DataFrame, fs: str | None = None, **options) -> DataFrame:
     """One row per block (or sector, as track * sectors + sector) that a file uses or the bitmap marks."""
 
     def rows(path, content):
-        for v, _, system in scan(path, content, fs):
+        for v, _, system in scan(path, content, fs, **options):
             if system is None:
                 continue
             flat = lambda c: c[0] * system.image.sectors + c[1] if isinstance(c, tuple) else c

@@ -26,9 +26,16 @@ def test_gcr35():
 
 def test_merlin():
     source = "* remark\rSTART LDA #' ' ;get it\r JSR COUT\r RTS\r"
-    out = converters.convert(file(bytes(ord(c) | 0x80 for c in source), 4))
-    assert out["converter"] == "merlin"
+    high = bytes(ord(c) | 0x80 for c in source)
+    out = converters.convert(file(high, 4))
+    assert out["converter"] == "merlin" and out["level"] == converters.PROBABLY
     assert out["text"].split("\r\n") == ["* remark", "START    LDA   #' '       ;get it", "         JSR   COUT", "         RTS", ""]
+    assert converters.convert(file(high, 4, path="A.S"))["level"] == converters.YES
+    assert dict(converters.scores(file(b"plain", 4, path="B.s")))["merlin"] == converters.PROBABLY_NOT
+    # blanks without the top bit part nothing; percentages are whole numbers
+    assert converters.convert(file(b"\xc1\x20\xc2\xa0\xd2\xd4\xd3\x8d", 4), "merlin")["text"].split("\r\n")[0] == "A B      RTS"
+    lines = [b"\xa0\xd2"] * 81 + [b"\xc1"] * 119  # 40.5 % is not above 40
+    assert not more_converters._is_merlin(b"\x8d".join(lines)) and more_converters._is_merlin(b"\x8d".join([b"\xa0\xd2"] * 41 + [b"\xc1"] * 59))
 
 
 def test_sc_assembler():
@@ -64,3 +71,14 @@ def test_pictures_of_many_colours():
     screen[0] = 0x0F
     px = more_converters.double_hires_colour(bytes(screen))
     assert px.shape == (192, 560, 3) and tuple(px[0, 0]) == (255, 255, 255) and not px[0, 4:].any()
+
+
+def test_business_basic():
+    def program(*lines):
+        body = b"".join(bytes((len(x) + 4,)) + n.to_bytes(2, "little") + x + b"\0" for n, x in lines)
+        return len(body).to_bytes(2, "little") + body + b"\0"
+
+    lines = [(10, b"\x81i=1\xe210"), (20, b"\xd9\xff\xc5i);:\xc0 loop"), (30, b"\x82i:\xd9\"done\""), (40, b"\xbbx\xe5\x80"), (50, b"\x8a\xff\x99")]
+    out = converters.convert(file(program(*lines), 0x09))
+    assert out["converter"] == "business_basic"
+    assert out["text"].split("\r\n") == [" 10   FOR i=1 TO 10", " 20     PRINT CHR$(i);:REM loop", " 30     NEXT i:PRINT \"done\"", " 40   IF x THEN END", " 50   *error* *error*", ""]

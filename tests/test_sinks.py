@@ -42,6 +42,22 @@ def test_extraction(spark, folder, tmp_path):
     assert sorted(os.listdir(tmp_path / "a.ddd")) == ["A%2fB%3aC#060300", "HELLO#fc0801", "TEXT#040000"]
 
 
+def test_extraction_with_conversion(spark, tmp_path):
+    files = [dict(path="NOTE", data=b"\xc1\xc2\x8d" * 20, file_type=4), dict(path="SUB/PIC", data=bytes(32768), file_type=0xC1), dict(path="PLAIN.BIN", data=b"\x60", file_type=6), dict(path="FORKED", data=b"d", rsrc=b"r" * 9, file_type=0xB3)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "v.po").write_bytes(filesystems.build_prodos("V", files, 400))
+    e = reader.read_entries(spark, str(tmp_path / "in"), payload=True)
+    out = {os.path.basename(r.file): r for r in sinks.extract_files(e, str(tmp_path / "a"), preserve=False, convert=True).collect()}
+    assert set(out) == {"NOTE.txt", "PIC.bmp", "PLAIN.BIN.txt", "FORKED.txt"} and open(out["NOTE.txt"].file, newline="").read() == "AB\r\n" * 20
+    assert open(out["PIC.bmp"].file, "rb").read(2) == b"BM"
+    out = sinks.extract_files(e, str(tmp_path / "b"), preserve=False, extensions=True, path_filter=lambda p: None if p.startswith("SUB") else "../../x/" + p).collect()
+    assert sorted(os.path.relpath(r.file, tmp_path / "b") for r in out) == ["x/FORKED.S16", "x/FORKED.S16r", "x/NOTE.TXT", "x/PLAIN.BIN"]
+    (tmp_path / "c").write_text("no folder")
+    out = sinks.extract_files(e, str(tmp_path / "c"), on_error="skip").collect()
+    assert len(out) == 5 and all(r.length is None and r.error for r in out)
+    assert [bytes(r.content) for r in sinks.get_file(e, "sub/pic").collect()] == [bytes(32768)]
+
+
 def test_tab_separated(spark, folder):
     assert all(r.line.count("\t") == 7 for r in sinks.tab_separated(reader.read_entries(spark, str(folder))).collect())
 

@@ -6,14 +6,12 @@
 2. Texts with equal sets are one class (their similarity is 1); from here on only one representative
    per class takes part.
 3. Bands of some values each (see `banding`) are hashed into buckets. In a bucket every member is compared with the
-   smallest id, its hub, alone (linear, whatever the bucket's size), on full sets: first with one hub of all
-   its buckets, and after verified links are merged with the hubs that are still in other groups.
-4. Where a bucket's members still belong to several groups, rounds of further hubs follow: the smallest member of
-   each bucket's second group is compared with all members outside its group. This goes on while it merges groups.
-5. What is still apart is finished exactly: small buckets by their pairs across groups, large ones in pairs of
-   bounded blocks. A bucket's largest group is never compared with itself, a local union-find skips
+   smallest id, its hub, alone (linear, whatever the bucket's size), on full sets. Verified links are merged.
+4. Buckets whose members still belong to several groups are finished exactly: small ones by their pairs across
+   groups, large ones in pairs of bounded blocks. A bucket's largest group is never compared with itself,
+   so a large group of copies costs its members once for each block of the rest; a local union-find skips
    what is already linked, and only links that merge two groups leave the task.
-6. All links together are merged by star contraction, a distributed union-find.
+5. All links together are merged by star contraction, a distributed union-find.
 
 At similarity 0.85 a pair misses all 32 bands of 8 with probability 4e-5, at 0.9 with 2e-8; at 0.8, where a
 caller asks for that, it misses all 42 bands of 6 with 3e-6.
@@ -36,8 +34,8 @@ SHINGLE, PERCENT = 5, 85
 VALUES, MISS = 256, 1e-4
 #: Buckets up to SMALL members are finished by pairs; larger ones in blocks of about BLOCK members.
 SMALL, BLOCK = 8, 256
-#: Pairs with one hub that meet its set in one task; rounds of further hubs at most (what they leave is finished exactly).
-HUB_PAIRS, ROUNDS = 512, 2
+#: Pairs with one hub that meet its set in one task.
+HUB_PAIRS = 512
 #: A class of equal sets is large from this share of all rows on, so there are at most so many.
 LARGE_CLASSES = 10_000
 #: Elements whose permutations are held at once.
@@ -212,18 +210,11 @@ def _stars(members: DataFrame) -> DataFrame:
     return members.where("rep <> hub").groupBy(F.col("rep").alias("a"), F.col("hub").alias("b")).agg(F.max(parts).alias("parts"))
 
 
-def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ends are in different groups; a node without one is its own."""
-    end = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
-    j = pairs.join(end("a"), "a", "left").join(end("b"), "b", "left")
-    return j.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select(*pairs.columns)
-
-
 def _apart(members: DataFrame, comps: DataFrame) -> DataFrame:
     """Members (bucket, rep, size) of the buckets that still hold several groups, with their group `comp`."""
     m = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    several = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "lo")
-    return shared_checkpoint(m.join(several, "bucket").select("bucket", "rep", "size", "comp", "lo"))
+    several = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    return shared_checkpoint(m.join(several, "bucket").select("bucket", "rep", "size", "comp"))
 
 
 def _common_sizes(sa: list[np.ndarray], sb: list[np.ndarray]) -> np.ndarray:
@@ -288,26 +279,11 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
     stars = shared_checkpoint(_stars(members))
     ids = members.select(F.col("rep").alias("id"))
     sets = shared_checkpoint(full_sets(by_ids(docs, ids, "left_semi")))
-    first = stars.groupBy("a").agg(F.min(F.struct("b", "parts")).alias("x")).select("a", "x.*")
-    links = shared_checkpoint(_verified(first, sets, percent))
-    comps = components(links)
-    rest = _between(stars.join(first.select("a", "b"), ["a", "b"], "left_anti"), comps)
-    links = links.union(shared_checkpoint(_verified(shared_checkpoint(rest), sets, percent)))
-    comps = components(links)
-    m = _apart(members.select("bucket", "rep", "size"), comps)
-    tried = stars.select("a", "b")
-    for _ in range(ROUNDS):
-        hubs = m.where("comp <> lo").groupBy("bucket").agg(F.min(F.struct("rep", "comp")).alias("hub")).select("bucket", F.col("hub.rep").alias("hub"), F.col("hub.comp").alias("hub_comp"))
-        pairs = shared_checkpoint(_stars(m.join(hubs, "bucket").where("comp <> hub_comp")).join(tried, ["a", "b"], "left_anti"))
-        found = shared_checkpoint(_verified(pairs, sets, percent))
-        if found.isEmpty():
-            break
-        links, tried = links.union(found), tried.union(pairs.select("a", "b"))
-        comps = components(links)
-        m = _apart(m.select("bucket", "rep", "size"), comps)
+    links = shared_checkpoint(_verified(stars, sets, percent))
+    m = _apart(members.select("bucket", "rep", "size"), components(links))
     small = m.where(F.col("size") <= SMALL).select("bucket", "rep", "comp")
     pairs = small.join(small.select("bucket", F.col("rep").alias("b"), F.col("comp").alias("comp_b")), "bucket").where("rep > b and comp <> comp_b")
-    pairs = pairs.select(F.col("rep").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti").withColumn("parts", F.lit(1))
+    pairs = pairs.select(F.col("rep").alias("a"), "b").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti").withColumn("parts", F.lit(1))
     more = _verified(pairs, sets, percent).union(_large_links(m.where(F.col("size") > SMALL), sets, percent))
     final = components(links.union(more))
     # back to classes, then to rows

@@ -12,6 +12,7 @@ parent's pointers. All arrays of a sequence lie in one memory map.
 from __future__ import annotations
 
 import mmap
+from collections.abc import Callable
 
 import numpy as np
 
@@ -54,12 +55,15 @@ def _words(places: np.ndarray, bits: int) -> np.ndarray:
 
 
 class EliasFano:
-    """A non-decreasing sequence: low bits packed, high bits in unary, with a directory of ones by word."""
+    """A non-decreasing sequence: low bits packed, high bits in unary, with a directory of ones by word.
 
-    def __init__(self, values: np.ndarray, universe: int):
+    `low_bits` is the number of low bits, by default the one that takes the least room.
+    """
+
+    def __init__(self, values: np.ndarray, universe: int, low_bits: int | None = None):
         n = len(values)
         self.n = n
-        self.l = max(0, int(universe // max(n, 1)).bit_length() - 1)
+        self.l = max(0, int(universe // max(n, 1)).bit_length() - 1) if low_bits is None else low_bits
         v = values.astype(np.uint64)
         high = (v >> np.uint64(self.l)).astype(np.int64)
         upper = _words(high + np.arange(n), n + (universe >> self.l) + 1)
@@ -97,28 +101,32 @@ class EliasFano:
         high = self._select(i, self.before, False) - i
         return high.astype(np.uint64) << np.uint64(self.l) | self.low(i)
 
-    def next_geq(self, x: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The place of the first value that is not below x, and whether it is x; only [begin, end) is searched if given."""
+    def next_geq(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of the first value that is not below x, and whether it is x."""
         high = (x >> np.uint64(self.l)).astype(np.int64)
         low = x & np.uint64((1 << self.l) - 1) if self.l else np.zeros(len(x), np.uint64)
         stop = self._select(high, self.zeros, True) - high
         at = np.where(high > 0, self._select(np.maximum(high - 1, 0), self.zeros, True) + 1 - high, 0)
-        if begin is not None:
-            at, stop = np.maximum(at, begin), np.minimum(stop, end)
-        last = stop.copy()
-        open_ = np.flatnonzero(at < last)
-        while open_.size:
-            mid = (at[open_] + last[open_]) >> 1
-            less = self.low(mid) < low[open_]
-            at[open_[less]] = mid[less] + 1
-            last[open_[~less]] = mid[~less]
-            open_ = open_[at[open_] < last[open_]]
+        at = _least(at, stop, lambda mid, some: self.low(mid) < low[some])
         hit = np.zeros(len(x), bool)
         some = np.flatnonzero(at < stop)
         hit[some] = self.low(at[some]) == low[some]
         return at, hit
 
 
+def _least(begin: np.ndarray, end: np.ndarray, below: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The first place of each range [begin, end) that isn't below what is searched for, by halving all ranges at once."""
+    at, last = begin.copy(), end.copy()
+    open_ = np.flatnonzero(at < last)
+    while open_.size:
+        mid = (at[open_] + last[open_]) >> 1
+        less = below(mid, open_)
+        at[open_[less]] = mid[less] + 1
+        last[open_[~less]] = mid[~less]
+        open_ = open_[at[open_] < last[open_]]
+    return at
+
+
 def quantise(p: np.ndarray) -> np.ndarray:
     return np.minimum(np.round(-np.log10(np.maximum(p, 1e-300)) / STEP), NONE - 1).astype(np.uint8)
 
@@ -132,27 +140,32 @@ _RESTORED = np.r_[10.0 ** (-STEP * np.arange(NONE)), 0.0]
 
 
 class Level:
-    """Symbols (below 2**32) sorted inside their parents, with one code each."""
+    """Symbols (below 2**32) sorted inside their parents, with one code each.
+
+    A key's high part is its parent and its low part the symbol, so between a parent's pointers only low parts are compared.
+    """
 
     def __init__(self, parents: int, parent: np.ndarray, symbol: np.ndarray, codes: np.ndarray):
         """(parent, symbol) pairs in order and without repeats."""
         self.pointers = EliasFano(np.searchsorted(parent, np.arange(parents + 1)), len(parent) + 1)
-        self.keys = EliasFano(parent.astype(np.uint64) << np.uint64(32) | symbol.astype(np.uint64), max(1, parents) << 32)
+        self.keys = EliasFano(parent.astype(np.uint64) << np.uint64(32) | symbol.astype(np.uint64), max(1, parents) << 32, 32)
+        self.symbols = self.keys.lower.view(np.uint32)
         (self.codes,) = mapped(codes)
 
     def find(self, parent: np.ndarray, symbol: np.ndarray, repeat: np.ndarray | None = None) -> np.ndarray:
         """The places of symbols below parents, -1 if there is none. `repeat`: symbols asked for each parent, one after another."""
-        known = parent >= 0
-        some = parent[known]
+        known = np.flatnonzero(parent >= 0)
         begin, end = np.zeros(len(parent), np.int64), np.zeros(len(parent), np.int64)
-        begin[known], end[known] = self.pointers.access(some), self.pointers.access(some + 1)
+        some = parent[known]
+        begin[known], end[known] = self.pointers.access(some).astype(np.int64), self.pointers.access(some + 1).astype(np.int64)
         if repeat is not None:
-            parent, begin, end, known = (np.repeat(a, repeat) for a in (parent, begin, end, known))
-        out = np.full(len(parent), -1)
-        ask = np.flatnonzero(known)
-        if len(ask) and len(self.codes):
-            at, hit = self.keys.next_geq(parent[ask].astype(np.uint64) << np.uint64(32) | symbol[ask].astype(np.uint64), begin[ask], end[ask])
-            out[ask[hit]] = at[hit]
+            begin, end = np.repeat(begin, repeat), np.repeat(end, repeat)
+        symbol = symbol.astype(np.uint32)
+        at = _least(begin, end, lambda mid, some: self.symbols[mid] < symbol[some])
+        some = np.flatnonzero(at < end)
+        out = np.full(len(at), -1)
+        hit = some[self.symbols[at[some]] == symbol[some]]
+        out[hit] = at[hit]
         return out
 
     def code(self, place: np.ndarray) -> np.ndarray:

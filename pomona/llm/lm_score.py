@@ -30,7 +30,7 @@ from pomona.llm.common import fold_of, hash_bytes, mix, pack_arrays, pack_blocks
 from pomona.llm.ef_trie import Trie, restore
 
 #: Tokens in a block and in a shard.
-BLOCK_TOKENS, SHARD_TOKENS = 1_200_000, 2_000_000
+BLOCK_TOKENS, SHARD_TOKENS = 1_500_000, 2_000_000
 #: A word is hot if it makes up 1/HOT_PART of a shard, but no more than the HOT_WORDS most frequent ones can be.
 HOT_PART, HOT_WORDS = 8, 1 << 20
 #: The discounts: counts that a context gives to the shorter one.
@@ -198,7 +198,7 @@ class Events:
         q3, q2 = np.zeros(len(self.counts)), np.zeros(len(self.p_mid))
         pair_at = np.searchsorted(self.p_mid, np.arange(len(self.hashes) + 1))
         for s, cold, hot, pairs in self.sections():
-            n, w_cold, t_cold, p_cold, w_hot, t_hot, p_hot = unpack_arrays(answers[s], "4111111")
+            n, w_cold, t_cold, p_cold, w_hot, t_hot, p_hot = unpack_arrays(answers[s], "s111111")
             for t, w, q in ((cold, w_cold, t_cold), (hot, w_hot, t_hot)):
                 nodes = self.t_context[t][_starts(self.t_context[t])]
                 weights[nodes], q3[t] = restore(w), restore(q)
@@ -271,7 +271,7 @@ def answer(runs: list[bytes], hot: Hot, k2: float = K2, k3: float = K3) -> list[
                 of = asked >> 32
                 parts += [trie.successors.code(trie.successors.find(mid, asked & 0xFFFFFFFF, np.bincount(of, minlength=len(t.mids))))]
         parts.append(trie.successors.code(trie.successors.find(trie.context(mids), symbols, per)))
-        out.append(pack_arrays(trie.counts[trie.context(cold.mids)].astype(np.uint32), *parts))
+        out.append(pack_arrays(trie.counts[trie.context(cold.mids)], *parts))
     return out
 
 

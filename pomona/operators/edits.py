@@ -10,11 +10,11 @@ EXCLUDES = {"data": ("data", "disk"), "disk": ("data", "disk", "rsrc"), "rsrc":
 
 
 def delete_records(records: DataFrame, doomed: DataFrame, key: str) -> DataFrame:
-    """Records without the doomed ones; an archive can't lose all of its records."""
-    rest = records.join(doomed.select(key).distinct(), key, "left_anti").select(*records.columns)
-    if rest.isEmpty() and not records.isEmpty():
-        raise ValueError("an archive must keep a record")
-    return rest
+    """Records without the doomed ones; an archive can't lose all of its records, which fails when the result is read."""
+    j = records.join(doomed.select(key).distinct().withColumn("__doomed", F.lit(True)), key, "left").withColumn("__one", F.lit(1))
+    rest = j.groupBy("__one").agg(F.count_if(F.col("__doomed").isNull()).alias("__rest"))  # one row
+    none = F.raise_error(F.lit("an archive must keep a record")).cast("boolean")
+    return j.join(rest, "__one").where(F.when(F.col("__rest") == 0, none).otherwise(F.col("__doomed").isNull())).select(*records.columns)
 
 
 def rename_records(records: DataFrame, changes: DataFrame, key: str, name: str, new_name: str) -> DataFrame:

@@ -39,8 +39,8 @@ def _names(schema: str) -> list[str]:
     return out
 
 
-def _archive(name: str, data: bytes):
-    """(kind, entries with their contents, embedded disk images) of a file archive, or None."""
+def _archive(name: str, data: bytes, expand: bool = True):
+    """(kind, entries, embedded disk images) of a file archive, or None. expand: NuFX entries get their contents, which checks them."""
     try:
         if archives.find_nufx(data) >= 0:
             rows, disks = [], []
@@ -48,7 +48,7 @@ def _archive(name: str, data: bytes):
                 e = archives.record_entry(r)
                 for t in r["threads"]:
                     what = archives.DATA_KINDS.get(t["kind"]) if t["thread_class"] == 2 else None
-                    if what is None:
+                    if what is None or (what != "disk" and not expand):
                         continue
                     try:
                         body = archives.thread_bytes(t, r.get("storage", 0))
@@ -80,11 +80,12 @@ def _image(name: str, body: bytes, wrappers: Sequence[Callable[[bytes], Image]])
     return open_image(name, body)
 
 
-def scan(path: str, data: bytes, fs: str | None = None, order: str | None = None, extra: Sequence[type] = (), wrappers: Sequence[Callable[[bytes], Image]] = ()) -> Iterator[tuple[dict, list[dict], object]]:
+def scan(path: str, data: bytes, fs: str | None = None, order: str | None = None, extra: Sequence[type] = (), wrappers: Sequence[Callable[[bytes], Image]] = (), expand: bool = True) -> Iterator[tuple[dict, list[dict], object]]:
     """(volume, entries, file system) of a file and, below it, of the images inside it.
 
     fs and order: force a file system, and the order in which 16-sector tracks are kept. extra: further file systems.
-    wrappers: further image formats, functions that read one or raise ValueError; they are tried first.
+    wrappers: further image formats, functions that read one or raise ValueError; they are tried first. expand: without
+    it the files of NuFX archives are listed only, so a wrong CRC of their contents doesn't show.
     """
     stack: list[tuple] = [(path.rsplit("/", 1)[-1], data, path, None, 0)]
     while stack:
@@ -93,7 +94,7 @@ def scan(path: str, data: bytes, fs: str | None = None, order: str | None = None
         entries, system = [], None
         try:
             inner, plain, outer, notes = (name, body, None, []) if isinstance(body, Image) else unwrap(name, body)
-            found = None if isinstance(body, Image) else _archive(inner, plain)
+            found = None if isinstance(body, Image) else _archive(inner, plain, expand)
             if found:
                 kind, entries, disks = found
                 volume |= dict(outer_format=outer, file_format=kind, notes=list(notes))
@@ -144,17 +145,20 @@ def volumes(files: DataFrame, fs: str | None = None, **options) -> DataFrame:
     """One row per volume of the files (path, content), embedded ones included. options: those of `scan`."""
 
     def rows(path, content):
-        for v, _, _ in scan(path, content, fs, **options):
+        for v, _, _ in scan(path, content, fs, expand=False, **options):
             yield v | {"notes": [{"level": a, "text": b} for a, b in v["notes"]]}
 
     return _table(files, VOLUMES, rows)
 
 
 def entries(files: DataFrame, fs: str | None = None, payload: bool = False, **options) -> DataFrame:
-    """One row per file in the containers; `sub_volume` names the volume inside a container. options: those of `scan`."""
+    """One row per file in the containers; `sub_volume` names the volume inside a container. options: those of `scan`.
+
+    Without payloads the files of archives are not expanded; their quality is then that of their headers alone.
+    """
 
     def rows(path, content):
-        for v, found, system in scan(path, content, fs, **options):
+        for v, found, system in scan(path, content, fs, expand=payload, **options):
             inside = v["volume_id"][len(path) + 1 :]
             for i, e in enumerate(found):
                 own = dict(container_path=path, volume_id=v["volume_id"], ordinal=i, sub_volume=inside, created_at=e["created"], modified_at=e["modified"], source_fs=system.name if system else v.get("file_format"))
@@ -185,7 +189,7 @@ def chunks(files: DataFrame, fs: str | None = None, **options) -> DataFrame:
     """One row per block (or sector, as track * sectors + sector) that a file uses or the bitmap marks."""
 
     def rows(path, content):
-        for v, _, system in scan(path, content, fs, **options):
+        for v, _, system in scan(path, content, fs, expand=False, **options):
             if system is None:
                 continue
             flat = lambda c: c[0] * system.image.sectors + c[1] if isinstance(c, tuple) else c

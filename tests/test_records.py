@@ -1,7 +1,9 @@
 """Types, selections and summaries against plain Python."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from pomona.operators import edits as X
 from pomona.operators import selection as L
 from pomona.operators import summary as M
 from pomona.operators import types as Y
@@ -86,3 +88,11 @@ def test_required_blocks(spark):
     e = spark.createDataFrame([("a", "file", 0, None), ("a", "file", 513, None), ("a", "forked", 10, 140000), ("a", "directory", 0, None), ("b", "file", 40_000_000, None)], "v string, record_kind string, data_len long, rsrc_len long")
     got = {r.v: (r.blocks, r.disk_blocks) for r in M.required_blocks(e, "v").collect()}
     assert got["a"] == (7 + 1 + 3 + (1 + (274 + 2 + 1) + 1) + 1, 800) and got["b"][1] is None
+
+
+def test_delete_records(spark):
+    records, doomed = spark.range(5).withColumn("x", F.lit("a")), spark.createDataFrame([(1,), (3,), (3,), (9,)], "id long")
+    assert sorted(r.id for r in X.delete_records(records, doomed, "id").collect()) == [0, 2, 4]
+    assert X.delete_records(records.where("false"), doomed, "id").count() == 0
+    with pytest.raises(Exception, match="must keep a record"):
+        X.delete_records(records, spark.range(9), "id").collect()

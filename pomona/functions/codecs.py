@@ -9,6 +9,7 @@ from __future__ import annotations
 import binascii
 import bz2
 import heapq
+import struct
 import zlib
 from collections import Counter
 
@@ -26,8 +27,8 @@ def crc16(data: bytes, seed: int = 0) -> int:
 def rotating_sum(data: bytes) -> int:
     """Adds 16-bit big-endian words to 32 bits, rotated right by one after each."""
     s = 0
-    for i in range(0, len(data) - 1, 2):
-        s = s + (data[i] << 8 | data[i + 1]) & 0xFFFFFFFF
+    for word in struct.unpack(f">{len(data) // 2}H", data[: len(data) // 2 * 2]):
+        s = s + word & 0xFFFFFFFF
         s = s >> 1 | (s & 1) << 31
     return s
 

@@ -44,8 +44,12 @@ def instruction(op: int, c02: bool = True) -> tuple[str, str] | None:
     return None
 
 
-def listing(data: bytes, origin: int = 0x2000, c02: bool = True) -> str:
-    """``address: bytes  name operand`` a line; ProDOS calls through BF00 show their three argument bytes."""
+def listing(data: bytes, origin: int = 0x2000, c02: bool = True, names: dict[tuple[str, int], str] | None = None) -> str:
+    """``address: bytes  name operand`` a line; ProDOS calls through BF00 show their three argument bytes.
+
+    names: what ("addr", n) operands and ("p8", n) calls are called, behind their lines.
+    """
+    names = names or {}
     out, at = [], 0
     while at < len(data):
         found = instruction(data[at], c02)
@@ -59,10 +63,11 @@ def listing(data: bytes, origin: int = 0x2000, c02: bool = True) -> str:
         if found[1] == "rel":
             value = origin + at + 2 + (value - 256 if value > 127 else value) & 0xFFFF
         text = f"{found[0]:<4} {MODES[found[1]][0].format(value)}".rstrip()
-        out.append(f"{origin + at:04X}: {part.hex(' ').upper():<12} {text}")
+        note = names.get(("addr", value)) if MODES[found[1]][1] == 2 or found[1] == "rel" else None
+        out.append(f"{origin + at:04X}: {part.hex(' ').upper():<12} {text}" + (f"  {note}" if note else ""))
         at += 1 + n
         if found[0] == "JSR" and value == 0xBF00 and at + 3 <= len(data):
             call = data[at : at + 3]
-            out.append(f"{origin + at:04X}: {call.hex(' ').upper():<12} MLI ${call[0]:02X} (${call[1] | call[2] << 8:04X})")
+            out.append(f"{origin + at:04X}: {call.hex(' ').upper():<12} MLI ${call[0]:02X} (${call[1] | call[2] << 8:04X})" + (f"  {names['p8', call[0]]}" if ("p8", call[0]) in names else ""))
             at += 3
     return "\r\n".join(out) + "\r\n" * bool(out)

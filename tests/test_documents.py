@@ -42,6 +42,14 @@ def test_listing16():
     ]
 
 
+def test_names_in_8_bit_listings():
+    from pomona.functions import disasm
+
+    code = bytes.fromhex("20edfd2000bfc8001090f94c0020")
+    plain, named = (disasm.listing(code, 0x2000, names=n).split("\r\n") for n in (None, {("addr", 0xFDED): "COUT", ("p8", 0xC8): "OPEN", ("addr", 0x2004): "LOOP"}))
+    assert named[0] == plain[0] + "  COUT" and named[2] == plain[2] + "  OPEN" and named[3] == plain[3] + "  LOOP" and named[4] == plain[4]
+
+
 def module(bodies):
     out = b""
     for i, body in enumerate(bodies, 1):

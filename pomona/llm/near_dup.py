@@ -36,8 +36,9 @@ VALUES, MISS = 256, 1e-4
 SMALL, BLOCK = 8, 256
 #: Pairs with one hub that meet its set in one task.
 HUB_PAIRS = 512
-#: A class of equal sets is large from this share of all rows on, so there are at most so many.
-LARGE_CLASSES = 10_000
+#: A class of equal sets is large from this share of all rows on, and a bucket hot from this share of all members on, so
+#: there are at most so many; what belongs to them is joined by broadcast, as a shuffle would bring each to one task.
+LARGE_CLASSES, HOT_BUCKETS, HOT_MEMBERS = 10_000, 100_000, 512
 #: Elements whose permutations are held at once.
 LANES = 150_000
 _P = np.uint64(0x9E3779B97F4A7C55)
@@ -210,11 +211,29 @@ def _stars(members: DataFrame) -> DataFrame:
     return members.where("rep <> hub").groupBy(F.col("rep").alias("a"), F.col("hub").alias("b")).agg(F.max(parts).alias("parts"))
 
 
-def _apart(members: DataFrame, comps: DataFrame) -> DataFrame:
+def _by_bucket(members: DataFrame, table: DataFrame, hot: int) -> DataFrame:
+    """Members (bucket, size, ...) joined with a table of one row a bucket that has its size too.
+
+    Buckets from `hot` members on are few enough to be broadcast.
+    """
+    cold = members.where(F.col("size") < hot).join(table.where(F.col("size") < hot).drop("size"), "bucket")
+    return cold.unionByName(members.where(F.col("size") >= hot).join(F.broadcast(table.where(F.col("size") >= hot).drop("size")), "bucket"))
+
+
+def _members(rows: DataFrame, hot: int) -> DataFrame:
+    """rows (rep, bucket) -> those of buckets with several members, with the bucket's hub (its smallest member) and size."""
+    full = rows.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    large = full.where(F.col("size") >= hot)
+    in_large = rows.join(F.broadcast(large), "bucket")
+    rest = rows.join(F.broadcast(large.select("bucket")), "bucket", "left_anti").join(full.where(F.col("size") < hot), "bucket")
+    return shared_checkpoint(rest.unionByName(in_large))
+
+
+def _apart(members: DataFrame, comps: DataFrame, hot: int) -> DataFrame:
     """Members (bucket, rep, size) of the buckets that still hold several groups, with their group `comp`."""
     m = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    several = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    return shared_checkpoint(m.join(several, "bucket").select("bucket", "rep", "size", "comp"))
+    several = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("size").alias("size")).where("lo <> hi").select("bucket", "size")
+    return shared_checkpoint(_by_bucket(m, several, hot).select("bucket", "rep", "size", "comp"))
 
 
 def _common_sizes(sa: list[np.ndarray], sb: list[np.ndarray]) -> np.ndarray:
@@ -274,35 +293,36 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
     some = base.where("n > 0 and id is not null")
     reps = some.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "bands")).alias("x"), F.count(F.lit(1)).alias("c")).select("h1", "h2", "n", "c", F.col("x.id").alias("rep"), F.col("x.bands").alias("bands"))
     rows = reps.select("rep", F.explode("bands").alias("bucket"))
-    full = rows.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = shared_checkpoint(rows.join(full, "bucket"))
+    n_rows = some.count()
+    hot = max(HOT_MEMBERS, n_rows * banding(percent)[0] // HOT_BUCKETS)
+    members = _members(rows, hot)
     stars = shared_checkpoint(_stars(members))
     ids = members.select(F.col("rep").alias("id"))
     sets = shared_checkpoint(full_sets(by_ids(docs, ids, "left_semi")))
     links = shared_checkpoint(_verified(stars, sets, percent))
-    m = _apart(members.select("bucket", "rep", "size"), components(links))
+    m = _apart(members.select("bucket", "rep", "size"), components(links), hot)
     small = m.where(F.col("size") <= SMALL).select("bucket", "rep", "comp")
     pairs = small.join(small.select("bucket", F.col("rep").alias("b"), F.col("comp").alias("comp_b")), "bucket").where("rep > b and comp <> comp_b")
     pairs = pairs.select(F.col("rep").alias("a"), "b").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti").withColumn("parts", F.lit(1))
-    more = _verified(pairs, sets, percent).union(_large_links(m.where(F.col("size") > SMALL), sets, percent))
+    more = _verified(pairs, sets, percent).union(_large_links(m.where(F.col("size") > SMALL), sets, percent, hot))
     final = components(links.union(more))
     # back to classes, then to rows
     classes = reps.select("h1", "h2", "n", "c", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", "c", F.coalesce("comp", "rep").alias("component_id"))
     # large classes of equal sets are few, as each holds a share of all rows, so their rows need no shuffle to one key
-    same, rows_of_class = ["h1", "h2", "n"], max(1000, some.count() // LARGE_CLASSES)
+    same, rows_of_class = ["h1", "h2", "n"], max(1000, n_rows // LARGE_CLASSES)
     large = classes.where(F.col("c") >= rows_of_class).select(*same, F.col("component_id").alias("large_id"))
     some = some.join(F.broadcast(shared_checkpoint(large)), same, "left")
     named = some.where("large_id is null").join(classes, same).select("id", "n", "component_id").union(some.where("large_id is not null").select("id", "n", "large_id")).union(base.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id")))
     return named.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _large_links(m: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _large_links(m: DataFrame, sets: DataFrame, percent: int, hot: int) -> DataFrame:
     """Links inside large buckets, each pair of blocks in a task of its own; a bucket's largest group is not paired with itself."""
     kind = dict(m.dtypes)["rep"]
-    groups = m.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("n"))
+    groups = m.groupBy("bucket", "comp", "size").count().groupBy("bucket", "size").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("n"))
     blocks = lambda c: F.greatest(F.ceil(c / BLOCK), F.lit(1)).cast("int")
-    groups = groups.select("bucket", F.col("top.comp").alias("top"), blocks(F.col("top.count")).alias("top_blocks"), blocks(F.col("n") - F.col("top.count")).alias("rest_blocks"))
-    m = m.join(groups, "bucket").withColumn("in_top", F.col("comp") == F.col("top"))
+    groups = groups.select("bucket", "size", F.col("top.comp").alias("top"), blocks(F.col("top.count")).alias("top_blocks"), blocks(F.col("n") - F.col("top.count")).alias("rest_blocks"))
+    m = _by_bucket(m, groups, hot).withColumn("in_top", F.col("comp") == F.col("top"))
     # blocks 0 .. rest_blocks - 1 hold the rest, those from rest_blocks on the largest group
     block = F.when(F.col("in_top"), F.col("rest_blocks") + F.pmod(F.xxhash64("rep", "bucket"), F.col("top_blocks"))).otherwise(F.pmod(F.xxhash64("rep", "bucket"), F.col("rest_blocks"))).cast("int")
     others = F.when(F.col("in_top"), F.sequence(F.lit(0), F.col("rest_blocks") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest_blocks") + F.col("top_blocks") - 1))

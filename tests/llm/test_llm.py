@@ -430,6 +430,8 @@ def test_near_groups(spark, monkeypatch):
     for small in (8, 2):  # with 2, buckets are finished in blocks
         monkeypatch.setattr(near_dup, "SMALL", small)
         monkeypatch.setattr(near_dup, "BLOCK", 5 if small == 2 else 256)
+        monkeypatch.setattr(near_dup, "HOT_MEMBERS", 4 if small == 2 else 512)  # and hot buckets are joined by broadcast
+        monkeypatch.setattr(near_dup, "HUB_PAIRS", 3 if small == 2 else 512)
         got = near_dup.near_groups(df).collect()
         assert len(got) == df.count()
         for r in got:

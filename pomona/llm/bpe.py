@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pomona.llm.common import filled, hash_bytes, pack_arrays, pack_blocks, spread, unpack_arrays, unpack_block
+from pomona.llm.common import filled, hash_bytes, pack_arrays, pack_blocks, spread, trim, unpack_arrays, unpack_block
 
 #: Bytes of text in a block, and those whose distinct pieces make a shard.
 BLOCK, SHARD = 8 << 20, 16 << 20
@@ -273,10 +273,13 @@ def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text
         data = np.frombuffer(known.buffers()[2] or b"", np.uint8)
         asked = np.flatnonzero(np.diff(at))
         runs = [pack_arrays(sizes[at[s] : at[s + 1]], data[begin[at[s]] : begin[at[s + 1]]]) for s in asked.tolist()]
+        trim()
         return pa.table({"shard": pa.array(asked.astype(np.int32)), "block": pa.array(np.full(len(asked), t.column("block")[0].as_py(), np.int32)), "run": pa.array(runs, pa.binary())})
 
     def reply(t: pa.Table) -> pa.Table:
-        return pa.table({"block": t.column("block"), "shard": t.column("shard"), "answer": pa.array(merge_shard(t.column("run").to_pylist(), load_ranks(path)), pa.binary())})
+        answers = pa.array(merge_shard(t.column("run").to_pylist(), load_ranks(path)), pa.binary())
+        trim()
+        return pa.table({"block": t.column("block"), "shard": t.column("shard"), "answer": answers})
 
     def encode(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         model, t = load_ranks(path), unpack_block(left)
@@ -310,6 +313,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text
         columns = [t.column("text_key"), pa.array(np.diff(total)), pa.array(hashed, pa.string()), pa.array(decoded, pa.string())]
         if keep_ids:
             columns.append(pa.ListArray.from_arrays(pa.array((total - total[0]).astype(np.int32)), pa.array(gather(ends - count, count, pool, ids).astype(np.int32))))
+        trim()
         return pa.table(dict(zip(names, columns)))
 
     asked = packed.groupBy("block").applyInArrow(request, "shard int, block int, run binary")

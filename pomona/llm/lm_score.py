@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pomona.llm.common import fold_of, hash_bytes, mix, pack_arrays, pack_blocks, shared_checkpoint, text_slices, unpack_arrays, unpack_block, words
+from pomona.llm.common import fold_of, hash_bytes, mix, pack_arrays, pack_blocks, shared_checkpoint, text_slices, trim, unpack_arrays, unpack_block, words
 from pomona.llm.ef_trie import Trie, restore
 
 #: Tokens in a block and in a shard.
-BLOCK_TOKENS, SHARD_TOKENS = 1_200_000, 2_000_000
+BLOCK_TOKENS, SHARD_TOKENS = 1_200_000, 1_200_000
 #: A word is hot if it makes up 1/HOT_PART of a shard, but no more than the HOT_WORDS most frequent ones can be.
 HOT_PART, HOT_WORDS = 8, 1 << 20
 #: The discounts: counts that a context gives to the shorter one.
@@ -216,9 +216,9 @@ class _Asked:
     def __init__(self, trigrams: bytes):
         self.mids, per_mid, self.before, per_node, self.after, self.count = unpack_arrays(trigrams, TRIGRAMS)
         self.per_node = per_node
-        self.node_mid = np.repeat(np.arange(len(self.mids)), per_mid)
-        self.node = np.repeat(np.arange(len(self.before)), per_node)
-        self.mid = self.node_mid[self.node]
+        self.node_mid = np.repeat(np.arange(len(self.mids), dtype=np.int32), per_mid)
+        self.node = np.repeat(np.arange(len(self.before), dtype=np.int32), per_node)
+        self.mid = np.repeat(self.node_mid, per_node)
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -249,8 +249,10 @@ def answer(runs: list[bytes], hot: Hot, k2: float = K2, k3: float = K3) -> list[
             keys.append(number(t.mids)[t.node_mid].astype(np.uint64) << np.uint64(32) | t.before)
             key_counts.append(t)
     pairs = _summed(pair_keys, pair_counts)
+    del pair_keys, pair_counts
     nodes = _distinct(np.concatenate(keys))
     triples = _summed([np.searchsorted(nodes, k)[t.node].astype(np.uint64) << np.uint64(32) | t.after for k, t in zip(keys, key_counts)], [t.count for t in key_counts])
+    del keys, key_counts
     split = lambda k: ((k >> np.uint64(32)).astype(np.int64), (k & _32).astype(np.uint32))
     of, symbol = split(pairs[0])
     counts = hot.of(contexts)
@@ -267,7 +269,7 @@ def answer(runs: list[bytes], hot: Hot, k2: float = K2, k3: float = K3) -> list[
             weight = np.where(place >= 0, trie.longer.code(place), 0).astype(np.uint8)  # an unseen context leaves all to the shorter one
             parts += [weight, trie.after.code(trie.after.find(place, t.after, t.per_node))]
             if t is cold:
-                asked = _distinct(t.mid << 32 | t.after.astype(np.int64))
+                asked = _distinct(t.mid.astype(np.int64) << 32 | t.after.astype(np.int64))
                 of = asked >> 32
                 parts += [trie.successors.code(trie.successors.find(mid, asked & 0xFFFFFFFF, np.bincount(of, minlength=len(t.mids))))]
         parts.append(trie.successors.code(trie.successors.find(trie.context(mids), symbols, per)))
@@ -319,16 +321,21 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", fold: in
 
     def request(t: pa.Table) -> pa.Table:
         runs = list(events(t)[0].runs())
+        trim()
         return pa.table({"shard": pa.array([s for s, _ in runs], pa.int32()), "block": pa.array([t.column("block")[0].as_py()] * len(runs), pa.int32()), "run": pa.array([r for _, r in runs], pa.binary())})
 
     def reply(t: pa.Table) -> pa.Table:
-        return pa.table({"block": t.column("block"), "shard": t.column("shard"), "answer": pa.array(answer(t.column("run").to_pylist(), sent.value), pa.binary())})
+        answers = pa.array(answer(t.column("run").to_pylist(), sent.value), pa.binary())
+        trim()
+        return pa.table({"block": t.column("block"), "shard": t.column("shard"), "answer": answers})
 
     def score(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         block, texts = events(left)
         n, known, base, own = score_block(block, texts.num_rows, dict(zip(right.column("shard").to_pylist(), right.column("answer").to_pylist())), ends, tokens, distinct)
         if not tokens:
             own = base
+        del block
+        trim()
         return pa.table({"doc_key": texts.column("doc_key"), "held_out": texts.column("held_out"), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(own)})
 
     asked = packed.groupBy("block").applyInArrow(request, "shard int, block int, run binary")

@@ -158,12 +158,12 @@ def archive_name(local: Column, preserved: bool = True, extended: bool = False,
 
 
 def percent_decoded(text: Column) -> Column:
-    """Percent codes of two digits as characters, ``%%`` as a percent sign, and a leading ``%00`` as nothing."""
+    """Percent codes of printable characters as these, ``%%`` as a percent sign, and a leading ``%00`` as nothing."""
     plain = F.regexp_replace(text, r"(^|/)%00", "$1")
-    plain = F.replace(plain, F.lit("%%"), F.lit("\x01"))
-    for code in range(0x20, 0x7F):
-        plain = F.regexp_replace(plain, f"(?i)%{code:02x}", "\\\\" + chr(code) if chr(code) in "\\$" else chr(code))
-    return F.replace(plain, F.lit("\x01"), F.lit("%"))
+    tokens = F.regexp_extract_all(plain, F.lit("(?s)(%%|%[2-7][0-9A-Fa-f]|.)"), F.lit(1))
+    code = lambda t: F.conv(F.substring(t, 2, 2), 16, 10).cast("int")
+    one = lambda t: F.when(t == "%%", "%").when((F.length(t) == 3) & (code(t) < 0x7F), F.chr(code(t))).otherwise(t)
+    return F.array_join(F.transform(tokens, one), "")
 
 
 def described(entries: DataFrame) -> DataFrame:

@@ -129,13 +129,10 @@ def extracted_extension(local: Column, code: Column, fork: Column, sep: str = "/
 
 def type_of_extension(path: Column, sep: str = "/") -> Column:
     """Struct (file_type, aux_type) that a name's extension says, or nulls: known ones first, then a type's name, which is three letters."""
-    own = F.upper(F.substring(names.extension(path, sep), 2, 1000))
-    kind, aux = F.lit(None).cast("int"), F.lit(None).cast("int")
-    for code, name in name_table().items():
-        kind, aux = F.when(own == name, code).otherwise(kind), F.when(own == name, 0).otherwise(aux)
-    for ext, (code, more) in EXTENSIONS.items():
-        kind, aux = F.when(own == ext, code).otherwise(kind), F.when(own == ext, more).otherwise(aux)
-    return F.struct(kind.alias("file_type"), aux.alias("aux_type"))
+    known = {name: (code, 0) for code, name in name_table().items()} | EXTENSIONS
+    table = F.create_map(*(F.lit(x) for name, (code, aux) in known.items() for x in (name, code << 16 | aux)))
+    both = F.try_element_at(table, F.upper(F.substring(names.extension(path, sep), 2, 1000)))
+    return F.struct(F.shiftright(both, 16).alias("file_type"), both.bitwiseAND(0xFFFF).alias("aux_type"))
 
 
 def archive_name(local: Column, preserved: bool = True, extended: bool = False, junk: bool = False) -> Column:

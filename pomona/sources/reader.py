@@ -107,7 +107,7 @@ def scan(path: str, data: bytes, fs: str | None = None, order: str | None = None
                         raise ValueError(f"the image can't be read in {order} order")
                     image = replace(image, order=order)
                 parts = open_partitions(image) if depth < DEPTH and fs is None else None
-                system = None if parts else open_filesystem(image, fs, extra)
+                system = None if parts else open_filesystem(image, fs, extra, settled=order is not None and depth == 0)
                 used = system.image if system else image
                 volume |= dict(outer_format=outer, file_format=image.file_format, physical_format=image.physical, sector_order=used.order, fs_format=parts[0] if parts else system.name if system else "unknown", num_tracks=image.tracks, sect_per_track=image.sectors, num_blocks=image.blocks, volume_name=system.volume if system else None, dos_volume_num=image.volume, damaged=image.damaged, notes=list(image.notes))
                 entries = list(system.entries()) if system else []

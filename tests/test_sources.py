@@ -148,3 +148,20 @@ def test_data_source(spark, folder):
     spark.dataSource.register(reader.EntriesSource)
     df = spark.read.format("pomona").option("payload", "true").load(str(folder / "d.nib"))
     assert sorted(bytes(r.data) for r in df.collect()) == sorted(f["data"] for f in DOS_FILES)
+
+
+@pytest.mark.parametrize("order", ["dos", "prodos", "cpm", "physical"])
+@pytest.mark.parametrize("blocks", [4, 1])
+def test_volumes_on_images_that_do_not_tell_their_order(order, blocks):
+    """The volume's first sector stands at the same place in CP/M's and in physical order."""
+    files = [dict(path=f"F{i}", data=bytes((65 + i,)) * (3000 + i)) for i in range(12)]
+    data = bytearray(filesystems.build_prodos("V", files))
+    if blocks == 1:  # a directory of one block has no links that tell
+        data[1024 + 2 : 1024 + 4] = b"\0\0"
+    for built, fs in ((bytes(data), "ProDOS"), (filesystems.build_pascal("V", files), "Pascal")):
+        ((volume, found, _),) = reader.scan("a.dsk", nibbles.reorder(built, order, "prodos"))
+        assert (volume["fs_format"], volume["sector_order"]) == (fs, order)
+        assert [(e["path"], e["data"]) for e in found] == [(f["path"], f["data"]) for f in files]
+    # an order that is asked for holds
+    ((volume, _, _),) = reader.scan("a.dsk", nibbles.reorder(bytes(data), "physical", "prodos"), order="cpm")
+    assert volume["sector_order"] == "cpm"

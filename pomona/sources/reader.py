@@ -27,6 +27,8 @@ THREADS = "container_path string, ordinal int, path string, thread_idx int, thre
 CHUNKS = "container_path string, volume_id string, chunk_idx long, users int, is_marked_used boolean"
 #: An embedded image inside an archive is opened in turn, this deep.
 DEPTH = 4
+#: Rows of many containers go to Spark together, up to so many rows or bytes of payload.
+FRAME_ROWS, FRAME_BYTES = 4096, 4 << 20
 
 
 def _names(schema: str) -> list[str]:
@@ -131,12 +133,21 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 def _table(files: DataFrame, schema: str, rows) -> DataFrame:
     names = _names(schema)
 
+    def frame(out: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame({n: pd.Series([r.get(n) for r in out], dtype=object) for n in names})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, size = [], 0
         for b in batches:
             for path, content in zip(b["path"], b["content"]):
-                out = list(rows(path, bytes(content)))
-                if out:
-                    yield pd.DataFrame({n: pd.Series([r.get(n) for r in out], dtype=object) for n in names})
+                for r in rows(path, bytes(content)):
+                    out.append(r)
+                    size += sum(len(r.get(n) or b"") for n in ("data", "rsrc", "payload"))
+                    if len(out) >= FRAME_ROWS or size >= FRAME_BYTES:
+                        yield frame(out)
+                        out, size = [], 0
+        if out:
+            yield frame(out)
 
     return files.mapInPandas(run, schema)
 

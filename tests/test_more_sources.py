@@ -1,7 +1,10 @@
 """Partition schemes and the read-only file systems."""
 
+import random
 import struct
+import time
 
+from pomona.functions import codecs
 from pomona.sources import disk, filesystems, more_filesystems, partitions, reader
 
 FILES = [dict(path=f"F{i}", data=bytes([i]) * (700 * i + 1)) for i in range(5)]
@@ -111,3 +114,29 @@ def test_fat_is_only_told():
     b[0], b[11:13], b[510:512] = 0xEB, b"\0\2", b"\x55\xaa"
     ((v, found),) = scan(bytes(b)).values()
     assert v["fs_format"] == "FAT" and len(found) == 1
+
+
+def test_checksum_of_words_with_and_without_carries():
+    def plain(data):
+        s = 0
+        for i in range(0, len(data) // 2 * 2, 2):
+            s = s + int.from_bytes(data[i : i + 2], "big") & 0xFFFFFFFF
+            s = s >> 1 | (s & 1) << 31
+        return s
+
+    r = random.Random(1)
+    for size in (0, 1, 2, 3, 63, 64, 66, 1000, 32768, 32771, 100_000):
+        for data in (bytes(size), b"\xff" * size, r.randbytes(size), bytes(r.choice((0, 255)) for _ in range(size)), r.randbytes(size // 2) + bytes(size), bytes(size) + r.randbytes(size // 3)):
+            assert codecs.rotating_sum(data) == plain(data)
+
+
+def test_checksum_of_a_disk_is_fast():
+    """Less time than a loop over its bytes takes."""
+    data = random.Random(2).randbytes(1 << 21)
+    codecs.rotating_sum(data)
+    began = time.perf_counter()
+    codecs.rotating_sum(data)
+    took = time.perf_counter() - began
+    began = time.perf_counter()
+    sum(b for b in data)
+    assert took < time.perf_counter() - began

@@ -110,14 +110,15 @@ def archives_laundered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def archives_transferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of each archive's files moved into a new archive, the other half deleted from a copy; both together hold all."""
 
-    def halves(data: bytes) -> tuple[list[str], list[str]]:
-        paths = [f["path"] for f in changes.archive_files(data)]
-        return paths[::2], paths[1::2]
+    def half(path: str, data: bytes) -> bytes:
+        paths = changes.archive_paths(data)
+        if path.startswith("a"):
+            return changes.transferred(data, None, paths[::2])[0]
+        return changes.without(data, paths[::2]) if paths[1::2] else archives.write_nufx([])
 
     boxes = _boxes(_documents(spark, sf_dir), lambda box, files: (f"{box}.shk", archives.write_nufx(files, 3)))
-    moved = changes.changed(boxes, lambda path, data: changes.transferred(data, None, halves(data)[0])[0], lambda path: "a" + path)
-    rest = changes.changed(boxes, lambda path, data: changes.without(data, halves(data)[0]) if halves(data)[1] else archives.write_nufx([]), lambda path: "b" + path)
-    return _read_back(moved.unionByName(rest))
+    twice = F.explode(F.array(F.concat(F.lit("a"), "path"), F.concat(F.lit("b"), "path")))  # each archive is built once
+    return _read_back(changes.changed(boxes.select(twice.alias("path"), "content"), half))
 
 
 @_query

@@ -1,11 +1,12 @@
 """Changed containers: what is changed is, and all else stays."""
 
+import hashlib
 import io
 from datetime import datetime
 
 import pytest
 
-from pomona.functions import nibbles
+from pomona.functions import codecs, nibbles
 from pomona.sources import archives, changes, disk, filesystems, more_filesystems, reader
 
 WHEN = datetime(1993, 5, 4, 12, 30)
@@ -211,3 +212,44 @@ def test_changed_frame(spark):
     got = {r.path: r for r in changes.changed(files, lambda path, data: changes.recompressed(data, 0)).collect()}
     assert [got[p].status for p in ("a.shk", "b.shk", "c.shk")] == ["changed", "failed", "failed"]
     assert bytes(got["b.shk"].content) == b"no archive" and changes.archive_files(bytes(got["a.shk"].content)) == changes.archive_files(archives.write_nufx(FILES[:2]))
+
+
+def test_transfer_and_delete_keep_packed_threads(monkeypatch):
+    """What is packed as asked is not packed again, and what is not wanted is not expanded; what is wanted is still checked."""
+    old = archives.write_nufx(FILES, 3)
+    want = {f["path"]: f for f in changes.archive_files(old)}
+    other = archives.write_nufx(FILES, 2)
+
+    def compress(data, kind):
+        assert not kind or len(data) < 64, "packed again"
+        return 0, data
+
+    with monkeypatch.context() as m:
+        m.setattr(archives, "compress", compress)
+        moved = changes.transferred(old, None, ["hello", "forked"])[0]
+        rest = changes.without(old, ["hello", "forked"])
+        noted = changes.commented(old, "hello", "new")
+        with pytest.raises(AssertionError):
+            changes.transferred(other, None, ["hello"])
+    assert changes.archive_files(moved) == [want["Hello"], want["FORKED"]]
+    assert changes.archive_files(rest) == [want["SUB/DEEP"], want["DISK"]]
+    assert changes.archive_files(noted)[0] == want["Hello"] | {"comment": "new"} and changes.archive_files(noted)[1:] == changes.archive_files(old)[1:]
+    again = changes.transferred(other, None, ["hello"])[0]
+    assert again == changes.transferred(old, None, ["hello"])[0]
+
+    payload = next(t["payload"] for r in archives.read_nufx(old) for t in r["threads"] if r["path"] == "SUB/DEEP" and t["thread_class"] == 2)
+    broken = bytearray(old)
+    broken[old.index(payload) + len(payload) // 2] ^= 1
+    assert changes.transferred(bytes(broken), None, ["hello"])[0] == again
+    assert [f["path"] for f in changes.archive_files(changes.without(bytes(broken), ["sub/deep"]))] == ["Hello", "FORKED", "DISK"]
+    for change in (lambda: changes.transferred(bytes(broken), None, ["sub/deep"]), lambda: changes.without(bytes(broken), ["hello"])):
+        with pytest.raises(ValueError):
+            change()
+
+
+def test_packing_of_runs_and_words():
+    """The streams of LZW/1 and LZW/2 are what they were, however they are made; their lengths and digests are of the code before."""
+    body = b"".join(b"line %d of the text\n" % (i * i % 977) for i in range(2000)) + b"\xdb" * 700 + b"a" * 5000 + bytes(range(256)) * 20
+    got = [(len(p), hashlib.md5(p).hexdigest()) for p in (codecs.lzw1(body), codecs.lzw2(body))]
+    assert got == [(11007, "e8b75ac4cad69bbbc204eb2b2f59e9aa"), (7374, "0a9b43f97d7e668f4e69fd3595e38976")]
+    assert codecs.unlzw(codecs.lzw1(body), len(body), 1) == codecs.unlzw(codecs.lzw2(body), len(body), 2) == body
